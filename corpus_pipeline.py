@@ -1,10 +1,18 @@
-"""A training-data pipeline of five stages over ``documents``."""
+"""A training-data pipeline of five stages over ``documents``.
+
+``run`` applies the stages in memory; a scheduler may as well write each stage's result as Parquet and reread it. All
+stages but the last return the columns of ``documents``; the last returns the places of pieces in training sequences.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sievelight.llm import mixing, packing, pii, quality_rules, simhash
 
-from sievelight.llm import quality_rules
+TOKENIZER = "word_bpe_49k.json"
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,8 +20,35 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality_rules.keep_good(docs)
 
 
-STAGES = [("quality rules", keep_quality)]
-#: Expectation-maximisation cannot be put in SQL; tests hold the stages against brute force.
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near-duplicates."""
+    return simhash.keep_one(docs)
+
+
+def protect_people(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts is replaced by pseudonyms; ``n_chars`` follows the new text."""
+    safe = pii.protect(docs).drop("pii")
+    return safe.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated to their sources' target weights, globally shuffled."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all copies, packed into sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES = [
+    ("quality rules", keep_quality),
+    ("near-duplicates", drop_near_duplicates),
+    ("personal data", protect_people),
+    ("source mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+#: Expectation-maximisation and fingerprints cannot be put in SQL; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 

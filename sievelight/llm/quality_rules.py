@@ -57,13 +57,16 @@ RULES = (
 )
 
 
-def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: the id and the counts that the rules read."""
+def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
+    """One row per row of ``docs``: the id and the counts that the rules read; with ``carry`` also the row as _row."""
     t = F.col("_t")
     line_has_word = lambda line: line.rlike(r"[^\x20\x09-\x0D]")
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")] if carry else []
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"), *row)
+    carried = ["_row"] if carry else []
     counted = base.select(
         "doc_id",
+        *carried,
         words_column(t).alias("_w"),
         F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -83,7 +86,7 @@ def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
     )
     return hashed.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_upper", "n_exclamation", "n_lines", "n_function_words",
+        "doc_id", *carried, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_upper", "n_exclamation", "n_lines", "n_function_words",
         F.when(F.size(F.array_distinct("_h")) < F.size("_h"), _words_in_repeats(F.col("_h"))).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
     )
 
@@ -179,13 +182,13 @@ def fit(patterns: list[tuple[str, int]], n_rules: int, rounds: int = 100, most:
     return model
 
 
-def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
     """Statistics, votes, ``posterior`` of good, ``base_failed`` and ``kept`` per row of ``docs``.
 
     The statistics are written once; the label model is fitted on the counts of their vote patterns over
     all rows that pass the base rule (the others are rejected whatever the rules say).
     """
-    seen = materialise(votes(statistics(docs, doc_id, text), rules), "quality")
+    seen = materialise(votes(statistics(docs, doc_id, text, carry), rules), "quality")
     patterns = [(r["votes"], r["count"]) for r in seen.where(~base_failed()).groupBy("votes").count().orderBy("votes").collect()]  # at most 3 ** len(rules) rows
     model = fit(patterns, len(rules))
     return (
@@ -196,6 +199,5 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_i
 
 
 def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, unchanged. A null id is an id like any other."""
-    verdict = judge(docs, doc_id=doc_id, text=text).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(verdict, docs[doc_id].eqNullSafe(verdict["_kept_id"]), "left_semi")
+    """The rows of ``docs`` that are kept, unchanged. Rows travel with their statistics, so that nothing is joined."""
+    return judge(docs, doc_id=doc_id, text=text, carry=True).where("kept").select("_row.*")

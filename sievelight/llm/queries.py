@@ -4,15 +4,59 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm import chat_format, quality_rules
+from sievelight.llm import chat_format, mixing, packing, pii, quality_rules, simhash, token_counts
 from sievelight.llm.texts import table
 
 CONFLICT = "</s>[INST] ok [/INST]"
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "copy", "source", F.round("repetition", 9).alias("repetition"), "shuffle_key", "text")
+
+
+OP2_SQL = """
+with sizes as (select source, sum(length(coalesce(text, '')) + 1)::bigint as size from documents group by source),
+total as (select sum(size) as size, sum(sqrt(size)) as weight from sizes),
+rates as (select source, total.size::double * (sqrt(sizes.size) / weight) / sizes.size as rate from sizes, total),
+cdf as (
+    with recursive steps as (
+        select source, rate, 0 as k, exp(-rate) as p, exp(-rate) as c from rates
+        union all select source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) from steps where k < ceil(rate + 12 * sqrt(rate) + 20)
+    ) select source, rate, list(c order by k) as cdf from steps group by source, rate
+),
+counted as (
+    select d.*, rate, len(list_filter(cdf, lambda c: c <= ('0x' || substr(md5('42:0:' || doc_id), 1, 13))::bigint / 4503599627370496.0)) as n
+    from documents d join cdf on cdf.source is not distinct from d.source
+),
+copies as (select *, unnest(range(n)) as copy from counted)
+select doc_id, copy::integer as copy, source, round(rate, 9) as repetition,
+    ('0x' || substr(md5('42:shuffle:' || doc_id || ':' || copy), 1, 15))::bigint as shuffle_key, text
+from copies
+"""
+
+WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    safe = pii.protect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda kind: F.size(F.filter("pii", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return safe.select("doc_id", "text", *map(of, pii.KINDS))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = simhash.components(table(spark, sf_dir, "documents"))
+    return grouped.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id", "n_same")
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", CONFLICT), (-1, 1, "assistant", CONFLICT)], "conv_id long, turn long, role string, text string")
@@ -42,6 +86,10 @@ from sized group by conv_id
 """
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select(
@@ -50,9 +98,15 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixing": op2_mixing,
+    "op3_packing": op3_packing,
+    "op4_pii": op4_pii,
+    "op5_simhash": op5_simhash,
     "op6_chat_format": op6_chat_format,
+    "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
 }
 SQL: dict[str, str] = {
+    "op2_mixing": OP2_SQL,
     "op6_chat_format": OP6_SQL,
 }
