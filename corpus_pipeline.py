@@ -1,6 +1,6 @@
 """A training-data pipeline of five stages over ``documents``.
 
-``run`` applies the stages in memory; a scheduler may as well write each stage's result as Parquet and reread it. All
+Each stage's result is written and reread as the next one's input, by ``run`` as by any scheduler. All
 stages but the last return the columns of ``documents``; the last returns the places of pieces in training sequences.
 """
 
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.llm import mixing, packing, pii, quality_rules, simhash
+from sievelight.storage import materialise
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -54,6 +55,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+    return STAGES[-1][1](spark, docs, sf_dir)
