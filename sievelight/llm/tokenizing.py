@@ -6,17 +6,20 @@ import os
 
 import numpy as np
 
-#: Most chunks of text whose ids a worker remembers; it then starts anew.
+#: Chunks of text whose ids a worker remembers, in each of two generations.
 REMEMBER = 400_000
-_SPACES = b" \t\n\r\x0b\x0c"
+_PUNCTUATION = b",.!?;:#%&$*|"
+_LOWER = bytes(range(256)).lower()
 
 
 class WordTokenizer:
-    """Ids of a ``tokenizers`` file whose pre-tokenizer never crosses white space, such as ``word_bpe_49k.json``.
+    """Ids of a ``tokenizers`` file that lower-cases and whose pre-tokenizer never crosses white space or the end of a run of
+    letters, such as ``word_bpe_49k.json``.
 
     A text is cut at ASCII white space and the ids of each chunk are remembered, since words recur. The file's normalizer
-    and splitter treat the chunks one by one, so the result is that of the whole text. Texts with an added token's string
-    in them (which could span chunks) go to the library whole.
+    and splitter treat the chunks one by one, so the result is that of the whole text. A new chunk that ends in ASCII
+    punctuation after a letter is put together from its two parts. Texts with an added token's string in them (which could
+    span chunks) go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -26,24 +29,49 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def ids(self, text: str | None) -> np.ndarray:
         """The ids of a text, as little-endian unsigned 32-bit numbers."""
         text = text or ""
         if any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        chunks = text.encode("utf-8", "replace").split()
+        chunks = text.encode("utf-8", "replace").translate(_LOWER).split()
+        if len(self.known) > REMEMBER:
+            self.known, self.older = {}, self.known
         known = self.known
-        missing = [c for c in set(chunks) if c not in known]
-        if missing:
-            if len(known) + len(missing) > REMEMBER:
-                known.clear()
-                missing = list(set(chunks))
-            self._learn(missing)
-        return np.frombuffer(b"".join([known[c] for c in chunks]), "<u4")
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        """Encodes new chunks in one text, whose tokens' offsets tell them apart again."""
+        try:
+            return np.frombuffer(b"".join([known[c] for c in chunks]), "<u4")
+        except KeyError:
+            self._learn({c for c in chunks if c not in known})
+            return np.frombuffer(b"".join([known[c] for c in chunks]), "<u4")
+
+    def _learn(self, missing: set[bytes]) -> None:
+        known, older = self.known, self.older
+        new: set[bytes] = set()
+        parted: list[tuple[bytes, bytes, bytes]] = []
+        for c in missing:
+            if c in older:
+                known[c] = older[c]
+                continue
+            base = c.rstrip(_PUNCTUATION)
+            if base and len(base) < len(c) and base.decode()[-1].isalpha():
+                end = c[len(base) :]
+                parted.append((c, base, end))
+                for part in (base, end):
+                    if part in older:
+                        known[part] = older[part]
+                    elif part not in known:
+                        new.add(part)
+            else:
+                new.add(c)
+        if new:
+            self._encode(list(new))
+        for c, base, end in parted:
+            known[c] = known[base] + known[end]
+
+    def _encode(self, chunks: list[bytes]) -> None:
+        """Encodes new chunks as one text, whose tokens' offsets tell them apart again."""
         words = [c.decode() for c in chunks]
         starts = np.cumsum([0] + [len(w) + 1 for w in words])
         encoding = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
