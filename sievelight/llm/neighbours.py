@@ -1,7 +1,8 @@
 """Approximate nearest neighbours: a graph by NN-descent, searched greedily.
 
 Equal vectors form one class, named by its smallest id; the graph is one of classes, so that a vector that a third of all
-rows share is one node. NN-descent starts from neighbours within random groups and then joins neighbours of neighbours:
+rows share is one node. NN-descent starts from neighbours within groups that random hyperplanes cut (their medians come
+from a sample of at most ``sample`` nodes; groups that are too large are dealt by a hash) and then joins neighbours of neighbours:
 around each node its neighbours in either direction meet, each pair with a new link is measured, and whoever comes nearer
 than a node's farthest neighbour takes its place. Rounds end when few links change. Nodes with very many reverse links
 are split into blocks that each hold all forward links, so no task gathers a hub and no link is left out. Vectors travel
@@ -33,12 +34,14 @@ from sievelight.storage import materialise
 @dataclass(frozen=True)
 class Settings:
     degree: int = 28  # links of a node
-    group: int = 256  # nodes in a random group at the start
+    tables: int = 4  # groupings at the start
+    group: int = 256  # nodes in a group at the start
+    sample: int = 2000
     block: int = 256  # reverse links of a node that meet in one task
-    rounds: int = 10
-    settled: float = 0.02  # share of links that still change when rounds end
+    rounds: int = 6
+    settled: float = 0.03  # share of links that still change when rounds end
     beam: int = 256
-    steps: int = 12
+    steps: int = 6
     seed: int = 11
 
 
@@ -101,72 +104,96 @@ def _per_group(work: Callable[[np.ndarray, np.ndarray, pd.DataFrame], tuple]) ->
 
 
 def _start(nodes: DataFrame, n: int, s: Settings) -> DataFrame:
-    """(u, v, d): the nearest of each node within random groups. Two independent groupings give half the links each; one
-    alone would leave its groups without a link to others."""
+    """(u, v, d): the nearest of each node within its groups."""
+    sampled = nodes.orderBy(F.xxhash64("node", F.lit(s.seed))).select("code").limit(s.sample).toPandas()["code"]
+    bits = max(0, (n // s.group).bit_length() - 1)
+    points = _matrix(sampled)
+    planes = np.random.default_rng(s.seed).normal(size=(points.shape[1], s.tables * bits)).astype(np.float32)
+    middle = np.median(points @ planes, axis=0)
+    powers = (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(0, np.int64)
+
+    @F.pandas_udf("array<long>")
+    def signature(code: pd.Series) -> pd.Series:
+        sides = (_matrix(code) @ planes > middle).reshape(len(code), s.tables, bits)
+        return pd.Series(list((sides * powers).sum(axis=2).astype(np.int64)))
+
+    each = nodes.select("node", "code", F.posexplode(signature("code")).alias("table", "cell"))
+    large = each.groupBy("table", "cell").count().where(F.col("count") > 2 * s.group).select("table", "cell", F.ceil(F.col("count") / s.group).cast("int").alias("parts"))
+    dealt = each.join(large, ["table", "cell"], "left").withColumn("part", F.pmod(F.xxhash64("node", "table"), F.coalesce("parts", F.lit(1))))
     half = (s.degree + 1) // 2
 
     def work(ids: np.ndarray, x: np.ndarray, _: pd.DataFrame) -> tuple:
         d = _distances(x)
         np.fill_diagonal(d, np.inf)
         k = min(half, len(ids) - 1)
-        near = np.argsort(d, axis=1, kind="stable")[:, :k]
+        near = np.argpartition(d, k - 1, axis=1)[:, :k] if k > 0 else np.zeros((len(ids), 0), np.int64)
         return np.repeat(ids, k), ids[near].ravel(), np.take_along_axis(d, near, 1).ravel()
 
-    def grouping(seed: int) -> DataFrame:
-        group = F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(max(1, n // s.group)))
-        return nodes.select(F.xxhash64(group, F.lit(seed)).alias("key"), F.col("node").alias("id"), "code")
-
-    both = grouping(s.seed).union(grouping(s.seed + 1))
-    links = both.repartition("key").sortWithinPartitions("key").mapInPandas(_per_group(work), "u long, v long, d float")
-    return links.groupBy("u", "v").agg(F.min("d").alias("d"))
+    keyed = dealt.select(F.xxhash64("table", "cell", "part").alias("key"), F.col("node").alias("id"), "code")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInPandas(_per_group(work), "u long, v long, d float")
 
 
 def _nearest(links: DataFrame, degree: int) -> DataFrame:
     return links.withColumn("_r", F.row_number().over(Window.partitionBy("u").orderBy("d", "v"))).where(F.col("_r") <= degree).drop("_r")
 
 
-def _both_ways(graph: DataFrame, s: Settings) -> DataFrame:
-    """(key, id, new): for each node its neighbours in either direction; key names the node and a block of it."""
-    forward = graph.select(F.col("u").alias("centre"), F.col("v").alias("id"), "new", F.lit(True).alias("own"))
-    reverse = graph.select(F.col("v").alias("centre"), F.col("u").alias("id"), "new", F.lit(False).alias("own"))
-    hubs = graph.groupBy(F.col("v").alias("centre")).count().where(F.col("count") > s.block).select("centre", F.ceil(F.col("count") / s.block).cast("int").alias("blocks"))
-    both = forward.union(reverse).groupBy("centre", "id").agg(F.max("new").alias("new"), F.max("own").alias("own"))
-    # The number of hubs is at most links / block; Spark broadcasts them only if they are few.
-    split = both.join(hubs, "centre", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    all_blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
+def _state(links: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
+    """(u, code, worst, links): one row a node with its ``degree`` nearest links; worst is null while there are fewer. All
+    that is grouped here is grouped by the node, after one shuffle."""
+    kept = _nearest(links.repartition("u").groupBy("u", "v").agg(F.min("d").alias("d"), F.min("new").alias("new")), s.degree)
+    rows = kept.groupBy("u").agg(F.collect_list(F.struct("v", "d", "new")).alias("links"), F.when(F.count("*") >= s.degree, F.max("d")).alias("worst"))
+    return materialise(rows.join(nodes.select(F.col("node").alias("u"), "code"), "u"), "graph")
+
+
+def _members(state: DataFrame, s: Settings) -> DataFrame:
+    """(key, id, new, code, worst): for each node its neighbours in either direction; key names the node and a block of it."""
+    pairs = state.select("u", "code", "worst", F.explode("links").alias("l"))
+    reverse = pairs.select(F.col("l.v").alias("centre"), F.col("u").alias("id"), "l.new", F.lit(False).alias("own"), "code", "worst")
+    points = state.select(F.col("u").alias("id"), "code", "worst")
+    forward = pairs.select(F.col("u").alias("centre"), F.col("l.v").alias("id"), "l.new", F.lit(True).alias("own")).join(points, "id").select("centre", "id", "new", "own", "code", "worst")
+    hubs = pairs.groupBy(F.col("l.v").alias("centre")).count().where(F.col("count") > s.block).select("centre", F.ceil(F.col("count") / s.block).cast("int").alias("blocks"))
+    both = forward.union(reverse)
+    if not (hubs := materialise(hubs, "hubs")).isEmpty():  # at most links / block rows; Spark broadcasts them only if they are few
+        split = both.join(hubs, "centre", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    else:
+        split = both.withColumn("blocks", F.lit(1))
     own_block = F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = split.withColumn("block", F.explode(F.when(F.col("own"), all_blocks).otherwise(own_block)))
-    return dealt.select(F.xxhash64("centre", "block").alias("key"), "id", "new")
+    dealt = split.withColumn("block", F.explode(F.when(F.col("own"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own_block)))
+    return dealt.select(F.xxhash64("centre", "block").alias("key"), "id", "new", "code", "worst")
 
 
-def _round(graph: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
-    """One round of NN-descent over (u, v, d, new)."""
-    worst = graph.groupBy(F.col("u").alias("id")).agg(F.when(F.count("*") >= s.degree, F.max("d")).alias("worst"))
-    known = nodes.select(F.col("node").alias("id"), "code").join(worst, "id", "left")
-    met = _both_ways(graph, s).join(known, "id")
+def _round(state: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
+    """One round of NN-descent."""
 
     def work(ids: np.ndarray, x: np.ndarray, rows: pd.DataFrame) -> tuple:
-        d, new, worst = _distances(x), rows["new"].to_numpy(bool), rows["worst"].to_numpy(np.float32)
-        worst = np.where(np.isnan(worst), np.inf, worst)
-        better = (new[:, None] | new[None, :]) & (d < worst[:, None]) & (ids[:, None] != ids[None, :])
+        # A neighbour in both directions is met once.
+        ids, first, place = np.unique(ids, return_index=True, return_inverse=True)
+        new = np.zeros(len(ids), bool)
+        np.logical_or.at(new, place, rows["new"].to_numpy(bool))
+        worst = rows["worst"].to_numpy(np.float32)[first]
+        d = _distances(x[first])
+        np.fill_diagonal(d, np.inf)
+        better = (new[:, None] | new[None, :]) & (d < np.where(np.isnan(worst), np.inf, worst)[:, None])
         i, j = np.nonzero(better)
         return ids[i], ids[j], d[i, j]
 
-    found = met.repartition("key").sortWithinPartitions("key").mapInPandas(_per_group(work), "u long, v long, d float")
-    merged = graph.select("u", "v", "d", F.lit(False).alias("new")).union(found.select("u", "v", "d", F.lit(True).alias("new")))
-    return _nearest(merged.repartition("u").groupBy("u", "v").agg(F.min("d").alias("d"), F.min("new").alias("new")), s.degree)
+    found = _members(state, s).repartition("key").sortWithinPartitions("key").mapInPandas(_per_group(work), "u long, v long, d float")
+    old = state.select("u", F.explode("links").alias("l")).select("u", "l.v", "l.d", F.lit(False).alias("new"))
+    return _state(old.union(found.withColumn("new", F.lit(True))), nodes, s)
 
 
 def build_graph(nodes: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(u, v): the links of the neighbour graph over ``nodes`` (node, code), ``degree`` a node."""
+    """(u, links): the neighbour graph over ``nodes`` (node, code), ``degree`` links a node."""
     n = nodes.count()
-    graph = materialise(_start(nodes, n, s).withColumn("new", F.lit(True)), "graph")
+    if n < 2:
+        return nodes.select(F.col("node").alias("u"), F.array().cast("array<struct<v:long,d:float,new:boolean>>").alias("links"))
+    state = _state(_start(nodes, n, s).withColumn("new", F.lit(True)), nodes, s)
     for _ in range(s.rounds):
-        graph = materialise(_round(graph, nodes, s), "graph")
-        changed, links = graph.agg(F.count_if("new"), F.count("*")).first()
+        state = _round(state, nodes, s)
+        changed, links = state.agg(F.sum(F.size(F.filter("links", lambda x: x["new"]))), F.sum(F.size("links"))).first()
         if changed <= s.settled * links:
             break
-    return graph.select("u", "v", "d")
+    return state.select("u", "links")
 
 
 def _measure(a: Column, b: Column) -> Column:
@@ -175,8 +202,10 @@ def _measure(a: Column, b: Column) -> Column:
 
 def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 10, s: Settings = Settings()) -> DataFrame:
     """(query_id, rank, vec_id, score) for ``queries`` (query_id, vec, start: array of nodes to start at)."""
-    links = graph.select("u", "v").union(_nearest(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "d"), s.degree).select("u", "v")).distinct()
-    links = materialise(links, "links")
+    pairs = graph.select("u", F.explode("links").alias("l")).select("u", "l.v", "l.d")
+    back = _nearest(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "d"), s.degree).groupBy("u").agg(F.collect_list("v").alias("back"))
+    ways = graph.join(back, "u", "left").select("u", F.array_union(F.transform("links", lambda x: x["v"]), F.coalesce("back", F.array().cast("array<long>"))).alias("to"))
+    ways = materialise(ways, "links")
     points = nodes.select(F.col("node").alias("v"), "vec")
     asked = queries.select("query_id", F.col("vec").alias("q"))
 
@@ -191,8 +220,8 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 10,
         open_ends = beam.where("not done")
         if open_ends.isEmpty():
             break
-        reached = open_ends.select("query_id", F.col("v").alias("u")).join(links, "u").select("query_id", "v").distinct()
-        fresh = reached.join(beam.select("query_id", "v"), ["query_id", "v"], "left_anti")
+        reached = open_ends.select("query_id", F.col("v").alias("u")).join(ways, "u").select("query_id", F.explode("to").alias("v"), F.lit(0).alias("seen"))
+        fresh = reached.union(beam.select("query_id", "v", F.lit(1))).groupBy("query_id", "v").agg(F.max("seen").alias("seen")).where("seen = 0").drop("seen")
         beam = materialise(best(beam.withColumn("done", F.lit(True)).union(measured(fresh))), "beam")
     found = beam.join(nodes.select(F.col("node").alias("v"), "members"), "v")
     each = found.select("query_id", F.explode("members").alias("vec_id"), F.col("d").alias("score")).where("vec_id != query_id")
