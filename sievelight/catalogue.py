@@ -736,8 +736,8 @@ def g8_minhash_clusters(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.cluster(read(spark, d, "documents"), "doc_id")
 
 
-@query("""with recursive e as (select distinct a.doc_id as u, b.v from (select doc_id, md5(lower(text)) as h from documents) a join (select md5(lower(text)) as h, min(doc_id) as v from documents group by 1) b using (h)),
-l as (select u as node, u as c from e union select v, v from e union select e.u, l.c from e join l on l.node = e.v union select e.v, l.c from e join l on l.node = e.u)
+@query("""with recursive e as (select a.doc_id as u, b.v from (select doc_id, md5(lower(text)) as h from documents) a join (select md5(lower(text)) as h, min(doc_id) as v from documents group by 1) b using (h)),
+s as (select u, v from e union select v, u from e), l as (select u as node, u as c from s union select s.u, l.c from l join s on l.node = s.v)
 select node, min(c) as component from l group by node""")
 def g9_components(spark: SparkSession, d: str) -> DataFrame:
     h = read(spark, d, "documents").select("doc_id", F.md5(F.lower("text")).alias("h"))
@@ -936,4 +936,4 @@ def t7_first_of_message(spark: SparkSession, d: str) -> DataFrame:
 def m1_m4_linear_model(spark: SparkSession, d: str) -> DataFrame:
     """Language from n-grams, trained on all documents and applied to them."""
     rows = read(spark, d, "documents").select("doc_id", "text", F.col("lang").alias("class"))
-    return learning.classify(learning.train(rows, words=2000, chars=2000, iterations=10), rows).select("doc_id", "class", "predicted")
+    return learning.classify(learning.train(rows, words=1000, chars=500, iterations=5), rows).select("doc_id", "class", "predicted")

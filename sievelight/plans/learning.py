@@ -9,16 +9,20 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.functions import labels
+from sievelight.functions.text import let
 
 
 def with_char_grams(rows: DataFrame, column: str = "text", size: int = 3) -> DataFrame:
-    t = F.lower(F.coalesce(F.col(column), F.lit("")))
-    n = F.length(t) - size + 1
-    return rows.withColumn("char_grams", F.when(n >= 1, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(t, i, F.lit(size)))).otherwise(F.array().cast("array<string>")))
+
+    def grams(t: Column) -> Column:
+        n = F.length(t) - size + 1
+        return F.when(n >= 1, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(t, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+    return rows.withColumn("char_grams", let(F.lower(F.coalesce(F.col(column), F.lit(""))), grams))
 
 
 def text_pipeline(words: int = 200_000, chars: int = 60_000, iterations: int = 30) -> Pipeline:

@@ -110,9 +110,11 @@ def link_findings(mails: DataFrame, links: DataFrame, facts: DataFrame, c: Catal
     href, parts = F.col("href"), urls.url_parts(urls.browser_form(F.col("href")))
     platform = F.col("h_platform")
     user_part = F.concat(F.left(F.col("host"), F.greatest(F.length("host") - F.length(platform), F.lit(0))), parts["path"], parts["query"])
-    tokens = F.filter(F.split(F.lower(user_part), "[^a-z0-9]+"), lambda t: t != "")
     labelled = [(r["brand"], r["domain"].split(".")[0]) for r in c.domains.where("match_label").orderBy("brand_ord", "domain_ord").select("brand", "domain").collect()]  # the catalogue
-    named = F.coalesce(*[F.when(F.array_contains(tokens, n) | (F.contains(F.array_join(tokens, ""), F.lit(n)) if len(n) >= 7 else F.lit(False)), F.lit(b)) for b, n in labelled if len(n) >= 5], F.lit(None).cast("string"))
+    near = lambda t, n: F.array_contains(t["words"], n) | (F.contains(t["joined"], F.lit(n)) if len(n) >= 7 else F.lit(False))
+    first_named = lambda t: F.coalesce(*[F.when(near(t, n), F.lit(b)) for b, n in labelled if len(n) >= 5], F.lit(None).cast("string"))
+    parted = F.filter(F.split(F.lower(user_part), "[^a-z0-9]+"), lambda t: t != "")
+    named = F.when(platform.isNotNull(), text.let(text.let(parted, lambda t: F.struct(t.alias("words"), F.array_join(t, "").alias("joined"))), first_named))
     mismatch = F.col("t_host").isNotNull() & F.col("t_known_tld") & (F.col("t_registrable") != F.col("h_registrable"))
     same_owner = platform.isNull() & (F.col("t_owner") == F.col("h_owner"))
     claimed = F.coalesce("t_owner", "t_looks_like")
