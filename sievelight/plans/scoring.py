@@ -194,8 +194,8 @@ def analyse(
         shown = expanded.groupBy("email_id").agg(F.sort_array(F.collect_set(F.struct("short_url", "destination"))).alias("_short"))
         all_parts = all_parts.join(shown, "email_id", "left").withColumn("links", F.when(F.col("_short").isNull(), F.col("links")).otherwise(F.col("links").withField("findings", F.concat("links.findings", note)))).drop("_short")
     normal = text.normalise_plain if plain else text.normalise
-    spoken = text.detect_language(normal(F.col("subject"), F.col("body")))
-    fused = fuse(all_parts, options)
+    spoken = text.detect_language(F.col("_normal"))
+    fused = fuse(all_parts.withColumn("_normal", normal(F.col("subject"), F.col("body"))), options)
     return fused.select(
         "email_id", "verdict", F.bround("score", 3).alias("score"), reasons(options).alias("reasons"), limitations().alias("limitations"),
         F.when(spoken == "ar", "ar").otherwise("en").alias("language"),

@@ -51,7 +51,7 @@ def test_language(spark, given, expected):
 
 def test_visible_body(spark):
     body = "Hi\nOn Sat, Jan 11 Jane <j@x> wrote:\n> old\nreply user(a)lists.example.org\n-- \nsignature"
-    assert one(spark, text.visible_body(F.col("t")), t=body) == "Hi\n \nreply  emailtoken \n"
+    assert one(spark, text.visible_body(F.col("t")), t=body) == "Hi\nreply  emailtoken \n"
     assert one(spark, text.visible_body(F.col("t")), t=None) == ""
 
 
