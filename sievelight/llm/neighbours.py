@@ -6,10 +6,12 @@ from a sample of at most ``sample`` nodes; groups that are too large are dealt b
 around each node its neighbours in either direction meet, each pair with a new link is measured, and whoever comes nearer
 than a node's farthest neighbour takes its place. Rounds end when few links change. Nodes with very many reverse links
 are split into blocks that each hold all forward links, so no task gathers a hub and no link is left out. Vectors travel
-as half-precision codes for this; what a search returns is measured in double precision on the original vectors.
+in the precision of the table; distances are computed in double precision on vectors centred within their group, and those
+that cancel by differences, so that nearly equal vectors are told apart. Links of equal distance are kept by a hash of both
+ends, not by id, so that ties make no hubs.
 
-A search keeps a beam of the nearest classes found for each query, expands those not expanded yet by their links in either
-direction, and ends when no beam changes. Queries that are rows of the table start at their own class, others at seeds
+A search keeps a beam of the nearest classes found for each query, expands those not expanded yet by all their links in
+either direction (a hub's in blocks), and ends when no beam changes. Queries that are rows of the table start at their own class, others at seeds
 spread over the table. Each class in the beam gives its smallest ids, as many as a result may hold.
 
 Defined results: vectors that are null, zero or of another length than most, or that hold a null or non-finite
@@ -37,7 +39,7 @@ class Settings:
     tables: int = 4  # groupings at the start
     group: int = 256  # nodes in a group at the start
     sample: int = 2000
-    block: int = 256  # reverse links of a node that meet in one task
+    block: int = 256  # links of a node that meet in one task
     rounds: int = 6
     settled: float = 0.03  # share of links that still change when rounds end
     beam: int = 256
@@ -54,16 +56,12 @@ def usable(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding"
     return rows.where(F.size("vec") == (lengths["n"] if lengths else -1))
 
 
-def classes(rows: DataFrame, ids: int) -> DataFrame:
-    """(node, vec, code, members): one row for equal vectors, with their ``ids`` smallest ids."""
+def classes(rows: DataFrame, ids: int, precision: str = "double") -> DataFrame:
+    """(node, vec, code, members): one row for equal vectors, with their ``ids`` smallest ids; code is vec in the
+    ``precision`` (float or double) that holds it exactly."""
     ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))).where(F.col("_n") <= ids)
     grouped = ranked.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("members"))  # at most ``ids`` rows each
-
-    @F.pandas_udf("binary")
-    def code(vec: pd.Series) -> pd.Series:
-        return vec.map(lambda x: np.asarray(x, np.float16).tobytes())
-
-    return grouped.select(F.get("members", F.lit(0)).alias("node"), "vec", code(F.col("vec")).alias("code"), F.array_distinct("members").alias("members"))
+    return grouped.select(F.get("members", F.lit(0)).alias("node"), "vec", F.col("vec").cast(f"array<{precision}>").alias("code"), F.array_distinct("members").alias("members"))
 
 
 def _whole_groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
@@ -80,13 +78,21 @@ def _whole_groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.Data
 
 
 def _matrix(codes: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(codes), np.float16).reshape(len(codes), -1).astype(np.float32)
+    return np.concatenate(list(codes)).reshape(len(codes), -1).astype(np.float64)
 
 
 def _distances(x: np.ndarray) -> np.ndarray:
-    """Squared distances of all pairs of rows."""
-    square = (x * x).sum(1)
-    return np.maximum(square[:, None] + square[None, :] - 2 * (x @ x.T), 0)
+    """Squared distances of all pairs of rows; those that cancel in the centred products are taken by differences."""
+    c = x - x.mean(0)
+    square = (c * c).sum(1)
+    both = square[:, None] + square[None, :]
+    d = np.maximum(both - 2 * (c @ c.T), 0)
+    i, j = np.nonzero(np.triu(d < 1e-6 * both, 1))
+    for at in range(0, len(i), 4096):
+        a, b = i[at : at + 4096], j[at : at + 4096]
+        d[a, b] = d[b, a] = ((x[a] - x[b]) ** 2).sum(1)
+    np.fill_diagonal(d, 0)
+    return d
 
 
 def _per_group(work: Callable[[np.ndarray, np.ndarray, pd.DataFrame], tuple]) -> Callable:
@@ -108,7 +114,7 @@ def _start(nodes: DataFrame, n: int, s: Settings) -> DataFrame:
     sampled = nodes.orderBy(F.xxhash64("node", F.lit(s.seed))).select("code").limit(s.sample).toPandas()["code"]
     bits = max(0, (n // s.group).bit_length() - 1)
     points = _matrix(sampled)
-    planes = np.random.default_rng(s.seed).normal(size=(points.shape[1], s.tables * bits)).astype(np.float32)
+    planes = np.random.default_rng(s.seed).normal(size=(points.shape[1], s.tables * bits))
     middle = np.median(points @ planes, axis=0)
     powers = (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(0, np.int64)
 
@@ -130,11 +136,11 @@ def _start(nodes: DataFrame, n: int, s: Settings) -> DataFrame:
         return np.repeat(ids, k), ids[near].ravel(), np.take_along_axis(d, near, 1).ravel()
 
     keyed = dealt.select(F.xxhash64("table", "cell", "part").alias("key"), F.col("node").alias("id"), "code")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInPandas(_per_group(work), "u long, v long, d float")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInPandas(_per_group(work), "u long, v long, d double")
 
 
 def _nearest(links: DataFrame, degree: int) -> DataFrame:
-    return links.withColumn("_r", F.row_number().over(Window.partitionBy("u").orderBy("d", "v"))).where(F.col("_r") <= degree).drop("_r")
+    return links.withColumn("_r", F.row_number().over(Window.partitionBy("u").orderBy("d", F.xxhash64("u", "v"), "v"))).where(F.col("_r") <= degree).drop("_r")
 
 
 def _state(links: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
@@ -170,14 +176,14 @@ def _round(state: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
         ids, first, place = np.unique(ids, return_index=True, return_inverse=True)
         new = np.zeros(len(ids), bool)
         np.logical_or.at(new, place, rows["new"].to_numpy(bool))
-        worst = rows["worst"].to_numpy(np.float32)[first]
+        worst = rows["worst"].to_numpy(np.float64)[first]
         d = _distances(x[first])
         np.fill_diagonal(d, np.inf)
         better = (new[:, None] | new[None, :]) & (d < np.where(np.isnan(worst), np.inf, worst)[:, None])
         i, j = np.nonzero(better)
         return ids[i], ids[j], d[i, j]
 
-    found = _members(state, s).repartition("key").sortWithinPartitions("key").mapInPandas(_per_group(work), "u long, v long, d float")
+    found = _members(state, s).repartition("key").sortWithinPartitions("key").mapInPandas(_per_group(work), "u long, v long, d double")
     old = state.select("u", F.explode("links").alias("l")).select("u", "l.v", "l.d", F.lit(False).alias("new"))
     return _state(old.union(found.withColumn("new", F.lit(True))), nodes, s)
 
@@ -186,7 +192,7 @@ def build_graph(nodes: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(u, links): the neighbour graph over ``nodes`` (node, code), ``degree`` links a node."""
     n = nodes.count()
     if n < 2:
-        return nodes.select(F.col("node").alias("u"), F.array().cast("array<struct<v:long,d:float,new:boolean>>").alias("links"))
+        return nodes.select(F.col("node").alias("u"), F.array().cast("array<struct<v:long,d:double,new:boolean>>").alias("links"))
     state = _state(_start(nodes, n, s).withColumn("new", F.lit(True)), nodes, s)
     for _ in range(s.rounds):
         state = _round(state, nodes, s)
@@ -200,12 +206,19 @@ def _measure(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x))
 
 
+def _ways(graph: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """(u, block, to): all links of each node in either direction, dealt to blocks; and (u, blocks) of the nodes with several."""
+    pairs = graph.select("u", F.explode("links").alias("l")).select("u", "l.v")
+    ends = materialise(pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "ends")
+    hubs = ends.groupBy("u").count().where(F.col("count") > s.block).select("u", F.ceil(F.col("count") / s.block).cast("int").alias("blocks"))
+    hubs = materialise(hubs, "hubs")
+    dealt = ends.join(hubs, "u", "left").withColumn("block", F.pmod(F.xxhash64("v"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    return materialise(dealt.groupBy("u", "block").agg(F.collect_list("v").alias("to")), "ways"), hubs
+
+
 def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 10, s: Settings = Settings()) -> DataFrame:
     """(query_id, rank, vec_id, score) for ``queries`` (query_id, vec, start: array of nodes to start at)."""
-    pairs = graph.select("u", F.explode("links").alias("l")).select("u", "l.v", "l.d")
-    back = _nearest(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "d"), s.degree).groupBy("u").agg(F.collect_list("v").alias("back"))
-    ways = graph.join(back, "u", "left").select("u", F.array_union(F.transform("links", lambda x: x["v"]), F.coalesce("back", F.array().cast("array<long>"))).alias("to"))
-    ways = materialise(ways, "links")
+    ways, hubs = _ways(graph, s)
     points = nodes.select(F.col("node").alias("v"), "vec")
     asked = queries.select("query_id", F.col("vec").alias("q"))
 
@@ -220,7 +233,9 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 10,
         open_ends = beam.where("not done")
         if open_ends.isEmpty():
             break
-        reached = open_ends.select("query_id", F.col("v").alias("u")).join(ways, "u").select("query_id", F.explode("to").alias("v"), F.lit(0).alias("seen"))
+        opened = open_ends.select("query_id", F.col("v").alias("u")).join(hubs, "u", "left")
+        opened = opened.select("query_id", "u", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block"))
+        reached = opened.join(ways, ["u", "block"]).select("query_id", F.explode("to").alias("v"), F.lit(0).alias("seen"))
         fresh = reached.union(beam.select("query_id", "v", F.lit(1))).groupBy("query_id", "v").agg(F.max("seen").alias("seen")).where("seen = 0").drop("seen")
         beam = materialise(best(beam.withColumn("done", F.lit(True)).union(measured(fresh))), "beam")
     found = beam.join(nodes.select(F.col("node").alias("v"), "members"), "v")
@@ -232,7 +247,8 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 10,
 def nearest_of_rows(rows: DataFrame, is_query: Column, k: int = 10, s: Settings = Settings(), vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """The ``k`` nearest rows of each row for which ``is_query`` (over the column vec_id) holds."""
     fine = usable(rows, vec_id, embedding)
-    nodes = materialise(classes(fine, k + 1), "classes")
+    single = rows.schema[embedding].dataType.simpleString() == "array<float>"
+    nodes = materialise(classes(fine, k + 1, "float" if single else "double"), "classes")
     graph = build_graph(nodes, s)
     asked = fine.where(is_query).dropDuplicates(["vec_id"])
     placed = asked.join(nodes.select("vec", "node"), "vec").select(F.col("vec_id").alias("query_id"), "vec", F.array("node").alias("start"))

@@ -196,6 +196,26 @@ def test_neighbours_recall_and_edges(spark):
     assert neighbours.nearest_of_rows(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("noise", [1e-3, 1e-6])
+def test_neighbours_of_nearly_equal_vectors(spark, noise):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=64)
+    x = x / np.linalg.norm(x) + rng.normal(size=(3000, 64)) * noise
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest_of_rows(frame, F.col("vec_id") % 100 == 0).collect()
+    hits = 0
+    for q in range(0, 3000, 100):
+        near = np.argsort(((x - x[q]) ** 2).sum(1))[1:11]
+        hits += len(set(near.tolist()) & {r.vec_id for r in got if r.query_id == q})
+    assert hits >= 0.95 * 300
+
+
+def test_neighbour_distances_that_cancel():
+    rng = np.random.default_rng(8)
+    x = np.concatenate([1 + rng.normal(size=(20, 8)) * 1e-9, [[-1e3] * 8]])
+    assert np.allclose(neighbours._distances(x), ((x[:, None] - x[None]) ** 2).sum(2), rtol=1e-6, atol=0)
+
+
 def slow_katz(texts, held):
     n1, n2, begin = collections.Counter(), collections.Counter(), 0
     tokens = [words_of(t) + [None] for t in texts]
