@@ -4,7 +4,7 @@ Equal vectors form one class, named by its smallest id; the graph is one of clas
 rows share is one node. NN-descent starts from neighbours within groups that random hyperplanes cut (their medians come
 from a sample of at most ``sample`` nodes; groups that are too large are dealt by a hash) and then joins neighbours of neighbours:
 around each node its neighbours in either direction meet, each pair with a new link is measured, and whoever comes nearer
-than a node's farthest neighbour takes its place. Rounds end when few links change. Nodes with very many reverse links
+than a node's farthest neighbour takes its place. Rounds end when few links change; bounds on rounds and steps raise. Nodes with very many reverse links
 are split into blocks that each hold all forward links, so no task gathers a hub and no link is left out. Vectors travel
 in the precision of the table; distances are computed in double precision on vectors centred within their group, and those
 that cancel by differences, so that nearly equal vectors are told apart. Links of equal distance are kept by a hash of both
@@ -40,10 +40,10 @@ class Settings:
     group: int = 256  # nodes in a group at the start
     sample: int = 2000
     block: int = 256  # links of a node that meet in one task
-    rounds: int = 6
-    settled: float = 0.03  # share of links that still change when rounds end
+    rounds: int = 100  # more raise
+    settled: float = 0.02  # share of links that still change when rounds end
     beam: int = 256
-    steps: int = 6
+    steps: int = 1000  # more raise
     seed: int = 11
 
 
@@ -198,8 +198,8 @@ def build_graph(nodes: DataFrame, s: Settings = Settings()) -> DataFrame:
         state = _round(state, nodes, s)
         changed, links = state.agg(F.sum(F.size(F.filter("links", lambda x: x["new"]))), F.sum(F.size("links"))).first()
         if changed <= s.settled * links:
-            break
-    return state.select("u", "links")
+            return state.select("u", "links")
+    raise RuntimeError(f"the graph did not settle in {s.rounds} rounds")
 
 
 def _measure(a: Column, b: Column) -> Column:
@@ -238,6 +238,8 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 10,
         reached = opened.join(ways, ["u", "block"]).select("query_id", F.explode("to").alias("v"), F.lit(0).alias("seen"))
         fresh = reached.union(beam.select("query_id", "v", F.lit(1))).groupBy("query_id", "v").agg(F.max("seen").alias("seen")).where("seen = 0").drop("seen")
         beam = materialise(best(beam.withColumn("done", F.lit(True)).union(measured(fresh))), "beam")
+    else:
+        raise RuntimeError(f"the search did not end in {s.steps} steps")
     found = beam.join(nodes.select(F.col("node").alias("v"), "members"), "v")
     each = found.select("query_id", F.explode("members").alias("vec_id"), F.col("d").alias("score")).where("vec_id != query_id")
     ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))

@@ -210,6 +210,20 @@ def test_neighbours_of_nearly_equal_vectors(spark, noise):
     assert hits >= 0.95 * 300
 
 
+def test_neighbours_end_settled_or_raise(spark):
+    x = np.random.default_rng(9).normal(size=(600, 8))
+    nodes = spark.createDataFrame([(i, v.tolist(), v.tolist(), [i]) for i, v in enumerate(x)], "node long, vec array<double>, code array<double>, members array<long>")
+    with pytest.raises(RuntimeError):
+        neighbours.build_graph(nodes, neighbours.Settings(degree=4, group=16, rounds=1, settled=0.0))
+    ring = spark.createDataFrame([(i, [((i + 1) % 600, 1.0, False)]) for i in range(600)], "u long, links array<struct<v:long,d:double,new:boolean>>")
+    line = nodes.select("node", F.array(F.col("node").cast("double")).alias("vec"), "members")
+    asked = line.where("node = 300").select(F.lit(-1).cast("long").alias("query_id"), F.array(F.lit(310.0)).alias("vec"), F.array("node").alias("start"))
+    found = neighbours.search(line, ring, asked, 3, neighbours.Settings(beam=2)).orderBy("rank").collect()
+    assert [r.vec_id for r in found][0] == 310
+    with pytest.raises(RuntimeError):
+        neighbours.search(line, ring, asked, 3, neighbours.Settings(beam=2, steps=3))
+
+
 def test_neighbour_distances_that_cancel():
     rng = np.random.default_rng(8)
     x = np.concatenate([1 + rng.normal(size=(20, 8)) * 1e-9, [[-1e3] * 8]])
