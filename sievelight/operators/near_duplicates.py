@@ -40,14 +40,32 @@ def band_edges(signed: DataFrame, key: str = "row_id") -> DataFrame:
     return each.join(least, ["band", "key"]).where(F.col(key) != F.col("_least")).select(F.col("_least").alias("src"), F.col(key).alias("dst")).distinct()
 
 
-def cluster(docs: DataFrame, key: str = "row_id", column: str = "text") -> DataFrame:
-    """(key, cluster): rows joined by a shared band; the cluster is its smallest key, and a row alone is its own."""
+def group_edges(docs: DataFrame, key: str = "row_id", group: str = "group_key") -> DataFrame:
+    """(src, dst): each row linked to the smallest row of its group; a null group links nothing."""
+    least = docs.where(F.col(group).isNotNull()).groupBy(group).agg(F.min(key).alias("_least"), F.count("*").alias("_n")).where("_n > 1")
+    return docs.select(key, group).join(least, group).where(F.col(key) != F.col("_least")).select(F.col("_least").alias("src"), F.col(key).alias("dst"))
+
+
+def cluster(docs: DataFrame, key: str = "row_id", column: str = "text", group: str | None = None) -> DataFrame:
+    """(key, cluster): rows joined by a shared band, or by an equal ``group`` where one is named; the cluster is its
+    smallest key, and a row alone is its own."""
     rows = materialise(shingle_rows(docs, key, column), "shingles")
     edges = band_edges(signatures(usable_shingles(rows, key), key), key)
+    if group:
+        edges = edges.union(group_edges(docs, key, group))
     linked = connected_components(edges).select(F.col("node").alias(key), F.col("component").alias("cluster"))
     return docs.select(key).join(linked, key, "left").select(key, F.coalesce("cluster", key).alias("cluster"))
 
 
+def campaigns(docs: DataFrame, key: str = "row_id", column: str = "text", group: str = "group_key") -> DataFrame:
+    """``docs`` with ``group`` replaced by the smallest one of all rows that a group or a band joins, so that a split by it
+    keeps a campaign under several subjects on one side. ``key`` is unique."""
+    found = docs.select(key, group).join(cluster(docs, key, column, group), key)
+    # In the order of UTF-8 bytes, which is that of code points.
+    smallest = found.groupBy("cluster").agg(F.min(group).alias("_campaign"))
+    return docs.join(found.join(smallest, "cluster").select(key, "_campaign"), key).withColumn(group, F.col("_campaign")).drop("_campaign")
+
+
 def containment(test: DataFrame, train: DataFrame, key: str = "row_id") -> DataFrame:
     """(key, n_shingles, contained): the share of a test row's shingles that occur in training."""
     known = train.select("shingle").distinct().withColumn("hit", F.lit(1))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievelight.functions import labels, text
+from sievelight.operators import near_duplicates
+from sievelight.storage import materialise
 
 
 @dataclass(frozen=True)
@@ -70,7 +72,21 @@ def seeded_cap(rows: DataFrame, cap: Column | int, by: list[str], key: str, seed
     return rows.withColumn("_n", nth).where(F.col("_n") <= cap).drop("_n")
 
 
+def campaign_groups(rows: DataFrame) -> DataFrame:
+    """Rows whose group_key is that of their campaign: the smallest one of all kept rows that a subject or near-equal text
+    joins. Rows that are not kept join nothing and keep their own."""
+    rows = materialise(rows, "judged")
+    kept = F.col("status") == "kept"
+    keyed = rows.where(kept).select("source_ord", "row_ord", "text", "group_key", F.struct("source_ord", "row_ord").alias("_row"))
+    found = near_duplicates.campaigns(keyed, "_row").select("source_ord", "row_ord", F.col("group_key").alias("_campaign"))
+    joined = rows.join(found, ["source_ord", "row_ord"], "left")
+    return joined.withColumn("group_key", F.when(kept, F.coalesce("_campaign", "group_key")).otherwise(F.col("group_key"))).select(*rows.columns)
+
+
 def split(rows: DataFrame, group: str = "group_key", modern: str = "modern") -> DataFrame:
+    """Adds split. Judged rows (with a status and text) are first grouped by campaign, so that each falls on one side."""
+    if {"status", "text", "source_ord", "row_ord"} <= set(rows.columns) and group == "group_key":
+        rows = campaign_groups(rows)
     return rows.withColumn("split", labels.split_of(F.col(group), F.col(modern)))
 
 

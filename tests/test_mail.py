@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievelight.functions import labels, text, urls
 from sievelight.functions.python_text import chunk_text, fold_text, host_to_unicode, normalisation_available, wordpiece
+from sievelight.operators import near_duplicates
 from sievelight.operators.components import connected_components
 from sievelight.plans import corpus, dims, evaluation, learning, rules, scoring
 from sievelight.plans.hosts import Catalogue, host_facts
@@ -203,3 +204,19 @@ def test_corpus(spark):
 
 def test_noisy_or(spark):
     assert spark.range(1).select(labels.noisy_or(F.array(F.lit(0.5), F.lit(0.5))).alias("x"), labels.noisy_or(F.array().cast("array<double>")).alias("y")).first() == (0.75, 0)
+
+
+def test_campaign_under_several_subjects_is_on_one_side(spark):
+    words = [f"{a}{b}" for a in "abcdefgh" for b in "klmnopqr"]
+    same = " ".join(words)
+    rows = [(i, "s", 0, f"zz{'abc'[i % 3]}", same + f" tail{'klmnop'[i]}", True, "kept") for i in range(6)]
+    rows += [(10 + i, "s", 0, "copies", "x" * (i + 1), True, "kept") for i in range(60)]  # no usable shingle: the subject joins them
+    rows += [(99, "s", 0, "zza", "another text", True, "too_short")]
+    frame = spark.createDataFrame(rows, "row_ord long, source string, source_ord int, group_key string, text string, modern boolean, status string")
+    out = {r.row_ord: r for r in corpus.split(frame).collect()}
+    assert len(out) == len(rows)
+    assert {out[i].group_key for i in range(6)} == {"zza"} and len({out[i].split for i in range(6)}) == 1
+    assert {out[10 + i].group_key for i in range(60)} == {"copies"}
+    keyed = frame.where("status = 'kept'")
+    clusters = {r.row_ord: r.cluster for r in near_duplicates.cluster(keyed, "row_ord", group="group_key").collect()}
+    assert {clusters[i] for i in range(6)} == {0} and {clusters[10 + i] for i in range(60)} == {10}
