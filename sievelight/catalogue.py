@@ -481,6 +481,13 @@ def b90_noisy_or(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("event_type").agg(labels.noisy_or_agg(F.col("value") / 1000).alias("score")).withColumn("half", labels.noisy_or(F.array(F.lit(0.5), F.lit(0.5))))
 
 
+@query("""select event_type, count(*) as n, 1 - product(1 - greatest(0, least(1, value / 1000))) as score from events where value is not null group by event_type""")
+def b90_noisy_or_all(spark: SparkSession, d: str) -> DataFrame:
+    """All events with a value. Many weights round the score to 1."""
+    e = read(spark, d, "events").where("value is not null")
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), labels.noisy_or_agg(F.col("value") / 1000).alias("score"))
+
+
 @query("""select event_id, 1 / (1 + exp(-(1.0162 * ln(p / (1 - p)) + 0.52364))) as calibrated, exp(p - 1) / (exp(p - 1) + 1) as soft from (select event_id, greatest(1e-6, least(1 - 1e-6, value / 1000)) as p from events)""")
 def b93_b94_calibration(spark: SparkSession, d: str) -> DataFrame:
     p = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("value") / 1000))

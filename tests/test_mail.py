@@ -5,6 +5,7 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
+from sievelight import catalogue
 from sievelight.functions import labels, text, urls
 from sievelight.functions.python_text import chunk_text, fold_text, host_to_unicode, normalisation_available, wordpiece
 from sievelight.operators import near_duplicates
@@ -220,3 +221,9 @@ def test_campaign_under_several_subjects_is_on_one_side(spark):
     keyed = frame.where("status = 'kept'")
     clusters = {r.row_ord: r.cluster for r in near_duplicates.cluster(keyed, "row_ord", group="group_key").collect()}
     assert {clusters[i] for i in range(6)} == {0} and {clusters[10 + i] for i in range(60)} == {10}
+
+
+def test_noisy_or_of_all_events(spark):
+    data = "/root/testdata/sf0.001"
+    out = catalogue.QUERIES["b90_noisy_or_all"](spark, data).collect()
+    assert sum(r.n for r in out) == spark.read.parquet(f"{data}/events.parquet").where("value is not null").count()
