@@ -165,16 +165,28 @@ def train(texts: list[str | None], labels: list[int], s: Settings = Settings(),
     return Model(weight, float(bias[0]), s)
 
 
+def fitting(lengths: np.ndarray, most: int) -> np.ndarray:
+    """Which texts to take, in their order, so that they hold ``most`` characters at most: one that does not fit is passed
+    over, later ones are not. If none fits, the shortest is taken whole."""
+    took, total = np.zeros(len(lengths), bool), 0
+    for i, n in enumerate(lengths.tolist()):
+        if total + n <= most:
+            took[i], total = True, total + n
+    if len(lengths) and not took.any():
+        took[int(np.argmin(lengths))] = True
+    return took
+
+
 def sample(docs: DataFrame, labels: DataFrame, s: Settings, doc_id: str, text: str, label: str) -> tuple[pd.DataFrame, float]:
     """Labelled rows, at most ``most_toxic`` and ``most_other`` of either class drawn by a hash of the id, and of these as
-    many as ``most_chars`` allow; and the share of toxic ones among all labelled rows."""
+    many as fit into ``most_chars``, one of a class at least; and the share of toxic ones among all labelled rows."""
     chosen = labels.where(F.col(label).isNotNull()).select(F.col(doc_id).alias("_id"), (F.col(label) > 0).cast("int").alias("y")).distinct()
     # Ids are compared by value, so that only the labels' few columns and the ids travel before the sample is known.
     lengths = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.length(text), F.lit(0)).alias("n")).join(chosen, "_id")
     counts = {r["y"]: r["count"] for r in chosen.groupBy("y").count().collect()}
     order = [F.xxhash64("_id", F.lit(s.seed)), F.col("_id"), F.col("n")]
     parts = [lengths.where(F.col("y") == y).orderBy(*order).limit(most).toPandas() for y, most in ((1, s.most_toxic), (0, s.most_other))]
-    first = pd.concat([p[p["n"].cumsum() <= s.most_chars // 2] for p in parts])[["_id", "y"]].drop_duplicates()
+    first = pd.concat([p[fitting(p["n"].to_numpy(), s.most_chars // 2)] for p in parts])[["_id", "y"]].drop_duplicates()
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     picked = docs.sparkSession.createDataFrame([(i, int(y)) for i, y in first.itertuples(index=False)], f"_id {column_type(docs, doc_id)}, y int")
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(picked), "_id").toPandas()

@@ -330,3 +330,15 @@ def test_pipeline_stages(spark, tmp_path):
     assert 12 not in ids(1) and set(range(2, 12)) <= ids(1)
     assert not [r for r in spark.read.parquet(f"{tmp_path}/2").collect() if "97.51.17.173" in r.text]
     assert set(at.columns) >= {"doc_id", "piece", "sequence_id", "offset", "length"} and ids(4) == ids(3)
+
+
+def test_long_labelled_text_drops_no_other(spark):
+    assert toxicity.fitting(np.array([3, 50, 4, 5]), 10).tolist() == [True, False, True, False]
+    assert toxicity.fitting(np.array([50, 20, 30]), 10).tolist() == [False, True, False]
+    texts = [(i, "word " * (500 if i < 2 else 4 + i)) for i in range(20)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    rows, share = toxicity.sample(docs, labels, toxicity.Settings(most_chars=2400), "doc_id", "text", "toxic")
+    assert set(rows["_id"]) == set(range(2, 20)) and share == 0.5
+    rows, _ = toxicity.sample(docs.where("doc_id < 2"), labels, toxicity.Settings(most_chars=2400), "doc_id", "text", "toxic")
+    assert set(rows["y"]) == {0, 1}
