@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -14,10 +15,13 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where none is set, as in local tests."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only where none is set and the master is local, as in
+    tests: executors elsewhere would not see it."""
     named = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
     if named:
         return named
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError(f"{KEY} must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="sievelight-")
@@ -36,4 +40,17 @@ def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     schema = df.schema
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    table._stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialised tables. Only for those that no plan yet to run reads: call it once what was made of them has
+    been written. A table that is not one of ``materialise`` is left alone."""
+    for table in tables:
+        path = getattr(table, "_stored_at", None)
+        if path:
+            spark = table.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
