@@ -202,8 +202,8 @@ def _members(state: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     forward = state.select(F.col("u").alias("centre"), "at", *split("links", lambda x: x["v"]))
     reverse = state.select(F.explode("links").alias("l"), F.col("u").alias("id")).select(F.col("l.v").alias("centre"), "id", F.col("l.new").alias("new"))
     hubs = materialise(reverse.groupBy("centre").count().where(F.col("count") > s.block).select("centre", F.ceil(F.col("count") / s.block).cast("int").alias("blocks")), "hubs")
-    dealt = reverse if hubs.isEmpty() else reverse.join(hubs, "centre", "left")
-    block = F.lit(0) if dealt is reverse else F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))).cast("int")
+    dealt = reverse.join(hubs, "centre", "left")  # at most links / block hubs
+    block = F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))).cast("int")
     # A block holds about ``block`` reverse links; all of its centre's forward links come to each.
     grouped = dealt.groupBy("centre", block.alias("block")).agg(F.collect_list(F.when(F.col("new"), F.col("id"))).alias("r_fresh"), F.collect_list(F.when(~F.col("new"), F.col("id"))).alias("r_known"))
     none = F.array().cast("array<long>")
@@ -294,16 +294,16 @@ def _ways(graph: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
 
 
 def _measured(pairs: DataFrame, nodes: DataFrame, asked: DataFrame, s: Settings) -> DataFrame:
-    """(query_id, v, home, d) of ``pairs`` (query_id, v, home), repeated or not; of each query the nearest in each task, as
-    many as a beam holds."""
+    """(query_id, v, home, d) of ``pairs`` (query_id, v, home), repeated or not, that are nearer than the query's bound in
+    ``asked`` (query_id, q, bound); of each query the nearest in each task, as many as a beam holds."""
     pairs = materialise(pairs, "pairs")
     parts = pairs.groupBy("home").count().select("home", F.ceil(F.col("count") / s.pairs).cast("int").alias("parts"))
     parts = materialise(parts, "parts")  # a row a home
     part = F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int")
-    keyed = pairs.join(parts, "home").select(F.xxhash64("home", part).alias("key"), F.lit("pair").alias("kind"), "query_id", "v", "home")
+    keyed = pairs.join(parts, "home").select(F.xxhash64("home", part).alias("key"), F.lit("pair").alias("kind"), "query_id", "v", "home", F.lit(0.0).alias("bound"))
     vector = nodes.schema["vec"].dataType.simpleString()
-    points = nodes.join(parts, "home").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(F.xxhash64("home", "part").alias("key"), F.lit("node"), F.col("node"), "node", "home", "vec")
-    queries = keyed.select("key", "query_id").distinct().join(asked, "query_id").select("key", F.lit("query"), "query_id", "query_id", F.lit(0), F.col("q").cast(vector).alias("vec"))
+    points = nodes.join(parts, "home").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(F.xxhash64("home", "part").alias("key"), F.lit("node"), F.col("node"), "node", "home", F.lit(0.0), "vec")
+    queries = keyed.select("key", "query_id").distinct().join(asked, "query_id").select("key", F.lit("query"), "query_id", "query_id", F.lit(0), "bound", F.col("q").cast(vector).alias("vec"))
     rows = keyed.withColumn("vec", F.array().cast(vector)).union(points).union(queries)
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
@@ -322,6 +322,8 @@ def _measured(pairs: DataFrame, nodes: DataFrame, asked: DataFrame, s: Settings)
             odd = (d[i] < 1e-140) | (d[i] > 1e150)
             if odd.any():
                 d[i][odd] = _apart(diff[odd])
+        near = d < query["bound"].to_numpy()[by_q][a]
+        a, b, d = a[near], b[near], d[near]
         order = np.lexsort((v[by_v][b], d, a))
         a, b, d = a[order], b[order], d[order]
         few = np.arange(len(a)) - np.searchsorted(a, a) < s.beam
@@ -334,7 +336,12 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 10,
     """(query_id, rank, vec_id, score) for ``queries`` (query_id, vec, start: array of struct<v,home> of nodes to start at),
     over what ``build_graph`` gave."""
     ways, hubs = _ways(graph, s)
-    asked = queries.select("query_id", F.col("vec").alias("q"))
+    asked = queries.select("query_id", F.col("vec").alias("q"), F.lit(float("inf")).alias("bound"))
+
+    def bounded(beam: DataFrame) -> DataFrame:
+        """The queries with open ends; what is no nearer than the farthest of a full beam has no place in it."""
+        full = beam.groupBy("query_id").agg(F.when(F.count("*") >= s.beam, F.max("d")).otherwise(float("inf")).alias("bound"), F.min("done").alias("ended")).where("not ended")
+        return asked.drop("bound").join(full.select("query_id", "bound"), "query_id")
 
     def best(beam: DataFrame) -> DataFrame:
         once = beam.repartition("query_id").groupBy("query_id", "v").agg(F.first("home").alias("home"), F.min("d").alias("d"), F.max("done").alias("done"))
@@ -351,7 +358,7 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 10,
         # A query that reaches one node by several ways asks for it once.
         reached = opened.join(ways, ["u", "block"]).select("query_id", F.explode("to").alias("x")).select("query_id", "x.v", "x.home").distinct()
         fresh = reached.join(beam.select("query_id", "v"), ["query_id", "v"], "left_anti")
-        before, beam = beam, best(beam.withColumn("done", F.lit(True)).union(_measured(fresh, nodes, asked, s).withColumn("done", F.lit(False))))
+        before, beam = beam, best(beam.withColumn("done", F.lit(True)).union(_measured(fresh, nodes, bounded(beam), s).withColumn("done", F.lit(False))))
         discard(before)
     else:
         raise RuntimeError(f"the search did not end in {s.steps} steps")
