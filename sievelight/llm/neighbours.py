@@ -201,14 +201,15 @@ def _members(state: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     split = lambda links, of: [F.transform(F.filter(links, lambda x: x["new"] == new), of).alias(name) for name, new in (("fresh", True), ("known", False))]
     forward = state.select(F.col("u").alias("centre"), "at", *split("links", lambda x: x["v"]))
     reverse = state.select(F.explode("links").alias("l"), F.col("u").alias("id")).select(F.col("l.v").alias("centre"), "id", F.col("l.new").alias("new"))
-    hubs = materialise(reverse.groupBy("centre").count().where(F.col("count") > s.block).select("centre", F.ceil(F.col("count") / s.block).cast("int").alias("blocks")), "hubs")
-    dealt = reverse.join(hubs, "centre", "left")  # at most links / block hubs
-    block = F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))).cast("int")
+    # For every centre, so that the plan is one with or without hubs.
+    blocks = materialise(reverse.groupBy("centre").count().select("centre", F.ceil(F.col("count") / s.block).cast("int").alias("blocks")), "blocks")
+    dealt = reverse.join(blocks, "centre")
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     # A block holds about ``block`` reverse links; all of its centre's forward links come to each.
     grouped = dealt.groupBy("centre", block.alias("block")).agg(F.collect_list(F.when(F.col("new"), F.col("id"))).alias("r_fresh"), F.collect_list(F.when(~F.col("new"), F.col("id"))).alias("r_known"))
     none = F.array().cast("array<long>")
     both = forward.join(grouped, "centre", "left").select("centre", "at", F.coalesce("block", F.lit(0)).alias("block"), *(F.concat(c, F.coalesce(f"r_{c}", none)).alias(c) for c in ("fresh", "known")))
-    return materialise(both.where(F.size("fresh") > 0).select(F.xxhash64("at", "block").alias("key"), "centre", "fresh", "known"), "members"), hubs
+    return materialise(both.where(F.size("fresh") > 0).select(F.xxhash64("at", "block").alias("key"), "centre", "fresh", "known"), "members"), blocks
 
 
 def _round(state: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
