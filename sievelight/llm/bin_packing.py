@@ -1,22 +1,44 @@
 """Bin completion on a histogram of lengths.
 
-Items of equal length are alike, so a packing is a list of *patterns* (which lengths fill a bin) with multiplicities.
-The histogram has at most ``capacity`` entries whatever the number of items, and so has the work here.
-
-The first incumbent is best-fit decreasing. If it needs more bins than the lower bound, bins are completed one pattern at
-a time around the largest item that is left: the undominated fillings of its remaining space are enumerated, the
-fullest first, a filling is used as often as the counts allow, and the search branches over fillings. A branch is cut
-when its waste already exceeds what a better packing may waste, and the rest of each branch is closed by best-fit
-decreasing, whose result becomes the incumbent if it is better. The search ends at the lower bound or after ``nodes``
-nodes; the incumbent is a complete packing at any time.
+Items of equal length are alike, so a packing is a list of *patterns* (which lengths fill a bin) with multiplicities. The
+histogram has at most ``capacity`` entries whatever the number of items.
+
+The first incumbent is best-fit decreasing. If it needs more bins than the lower bound, bins are completed around the largest
+item that is left: the fillings of its remaining space are enumerated, the fullest first, and the search branches over them.
+Fillings are enumerated lazily and completely, but for dominated ones: where a filling has room for an item that is left, or
+for a longer item in place of a shorter one, the filling with that exchange is at least as good and comes up by itself. A
+branch ends when what it has wasted exceeds what a packing with one bin less than the incumbent's may waste, when the lower bound of
+its rest says so, or when the same rest was reached before with no more bins. Whenever the search goes deeper, best-fit
+decreasing closes the rest; a better packing becomes the incumbent at once.
+
+A filling that recurs is first used as often as the counts allow (so that large histograms are packed in a few levels), then
+less often, down to once: branches over multiplicities are part of the search.
+
+The exact way: without ``seconds`` the search ends at the lower bound or when it is exhausted, so its result is optimal. Bin
+packing is NP-hard, so ``seconds`` bounds the time instead; what is returned then is the best packing found, always a
+complete one, and ``Result.proven`` says whether it is known to be optimal.
 """
 
 from __future__ import annotations
 
+import time
+from bisect import bisect_left, insort
+from collections.abc import Iterator
+from typing import NamedTuple
+
 Pattern = tuple[tuple[int, int], ...]
 Packing = list[tuple[int, Pattern]]
 
 
+class Result(NamedTuple):
+    """A packing, its bins, the lower bound, and whether no packing has fewer bins."""
+
+    packing: Packing
+    bins: int
+    bound: int
+    proven: bool
+
+
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """The larger of the volume bound and Martello and Toth's L2 bound."""
     lengths = sorted(counts)
@@ -45,7 +67,6 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> Packing:
     """Each item, largest first, goes to the fullest bin that it fits."""
     open_bins: dict[int, list[list]] = {}  # space left -> [pattern, bins]
     spaces: list[int] = []  # ascending keys of open_bins
-    from bisect import bisect_left, insort
 
     def put(space: int, pattern: Pattern, bins: int) -> None:
         if space not in open_bins:
@@ -82,67 +103,112 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> Packing:
     return [(bins, pattern) for group in open_bins.values() for pattern, bins in group]
 
 
-def fillings(counts: dict[int, int], space: int, width: int = 8, nodes: int = 300) -> list[tuple[int, Pattern]]:
-    """Up to ``width`` undominated fillings of ``space``, least waste first, as (waste, pattern)."""
-    lengths = sorted((n for n in counts if n <= space and counts[n]), reverse=True)
-    found: dict[Pattern, int] = {}
-    budget = nodes
+class OutOfTime(Exception):
+    """The search has used its seconds."""
 
-    def grow(i: int, left: int, picked: list[tuple[int, int]]) -> None:
-        nonlocal budget
-        budget -= 1
-        while i < len(lengths) and lengths[i] > left:
-            i += 1
-        if i == len(lengths) or budget <= 0:
-            found.setdefault(tuple(picked), left)
-            return
-        n = lengths[i]
-        for k in range(min(counts[n], left // n), -1, -1):
-            grow(i + 1, left - k * n, picked + [(n, k)] if k else picked)
-            if budget <= 0 or (found and min(found.values()) == 0 and len(found) >= width):
-                return
 
-    grow(0, space, [])
+def fillings(counts: dict[int, int], space: int, most_waste: int, until: float | None = None) -> Iterator[tuple[int, Pattern]]:
+    """All undominated fillings of ``space`` that waste ``most_waste`` at most, least waste first, as (waste, pattern)."""
+    lengths = sorted((n for n in counts if 0 < n <= space and counts[n]), reverse=True)
+    # volume[i]: of all items from place i on; a filling that cannot reach its fill with them is not begun.
+    volume = [0] * (len(lengths) + 1)
+    for i in range(len(lengths) - 1, -1, -1):
+        volume[i] = volume[i + 1] + lengths[i] * counts[lengths[i]]
+    dead: set[tuple[int, int]] = set()  # (place, space) that no items from there fill exactly
+
+    def exactly(i: int, left: int, picked: list[tuple[int, int]]) -> Iterator[Pattern]:
+        """Fillings of ``left`` by lengths from place i on; the depth is that of the lengths picked."""
+        if not left:
+            yield tuple(picked)
+            return
+        if until is not None and time.monotonic() > until:
+            raise OutOfTime
+        begun, any_found = i, False
+        while i < len(lengths) and volume[i] >= left and (i, left) not in dead:
+            n = lengths[i]
+            for k in range(min(counts[n], left // n), 0, -1):
+                for found in exactly(i + 1, left - k * n, [*picked, (n, k)]):
+                    any_found = True
+                    yield found
+            i += 1
+        if not any_found:
+            dead.add((begun, left))
 
     def dominated(pattern: Pattern, waste: int) -> bool:
-        """Whether one unused item could take the place of one in the pattern, or of nothing, and fill more."""
+        """Whether an item that is left could take the place of a shorter one, or of nothing, and fill more."""
         used = dict(pattern)
-        return any(
-            used.get(n, 0) < counts[n] and (n <= waste or any(m < n <= m + waste for m in used)) for n in lengths
-        )
+        return any(used.get(n, 0) < counts[n] and (n <= waste or any(m < n <= m + waste for m in used)) for n in lengths)
 
-    ranked = sorted((waste, pattern) for pattern, waste in found.items() if not dominated(pattern, waste))
-    return ranked[:width] or sorted((waste, pattern) for pattern, waste in found.items())[:1]
+    for waste in range(min(most_waste, space) + 1):
+        for pattern in exactly(0, space - waste, []):
+            if not waste or not dominated(pattern, waste):
+                yield waste, pattern
 
 
-def pack(counts: dict[int, int], capacity: int, nodes: int = 100) -> Packing:
-    """[(number of bins, ((length, items), ...)), ...] that holds every item of ``counts`` (length -> items)."""
+def solve(counts: dict[int, int], capacity: int, seconds: float | None = None) -> Result:
+    """The best packing of ``counts`` (length -> items) found within ``seconds``; without these, an optimal one."""
     counts = {n: c for n, c in counts.items() if c}
     if any(not 0 < n <= capacity for n in counts):
         raise ValueError("a length is not within the capacity")
     bound = lower_bound(counts, capacity)
     incumbent = best_fit_decreasing(counts, capacity)
     best = sum(b for b, _ in incumbent)
-    stack = [(counts, [], 0, 0)] if best > bound else []  # items left, packing so far, its bins, its waste
+    if best <= bound:
+        return Result(incumbent, best, bound, True)
+    until = None if seconds is None else time.monotonic() + seconds
     volume = sum(n * c for n, c in counts.items())
-    while stack and best > bound and nodes > 0:
-        nodes -= 1
-        left, done, bins, waste = stack.pop()
-        if waste > (best - 1) * capacity - volume or bins + lower_bound(left, capacity) >= best:
-            continue
-        if not left:
-            incumbent, best = done, bins
-            continue
-        rest = best_fit_decreasing(left, capacity)
-        if bins + sum(b for b, _ in rest) < best:
-            incumbent, best = done + rest, bins + sum(b for b, _ in rest)
+    seen: dict[tuple, int] = {}  # what is left -> fewest bins with which it was reached
+
+    def children(left: dict[int, int], waste: int) -> Iterator[tuple[int, Pattern, int]]:
+        """(times, pattern, waste of one bin) around the largest item that is left."""
         n = max(left)
-        others = left | {n: left[n] - 1}
-        for w, pattern in reversed(fillings(others, capacity - n)):
+        for w, pattern in fillings(left | {n: left[n] - 1}, capacity - n, (best - 1) * capacity - volume - waste, until):
             used = {n: 1}
             for m, k in pattern:
                 used[m] = used.get(m, 0) + k
-            times = min(left[m] // k for m, k in used.items())
-            after = {m: c - times * used.get(m, 0) for m, c in left.items()}
-            stack.append(({m: c for m, c in after.items() if c}, [*done, (times, tuple(sorted(used.items(), reverse=True)))], bins + times, waste + times * w))
-    return incumbent
+            for times in range(min(left[m] // k for m, k in used.items()), 0, -1):
+                yield times, tuple(sorted(used.items(), reverse=True)), w
+
+    # A stack of (what is left, its bins, its waste, its packing, branches not tried yet): no recursion however deep.
+    stack = [(counts, 0, 0, [], children(counts, 0))]
+    while stack and best > bound:
+        left, bins, waste, done, branches = stack[-1]
+        try:
+            if until is not None and time.monotonic() > until:
+                raise OutOfTime
+            step = next(branches, None)
+        except OutOfTime:
+            return Result(incumbent, best, bound, False)
+        if step is None:
+            stack.pop()
+            continue
+        times, pattern, w = step
+        now_bins, now_waste = bins + times, waste + times * w
+        if now_waste > (best - 1) * capacity - volume or now_bins >= best:
+            continue
+        rest = dict(left)
+        for m, k in pattern:
+            rest[m] -= times * k
+            if not rest[m]:
+                del rest[m]
+        now_done = [*done, (times, pattern)]
+        if not rest:
+            incumbent, best = now_done, now_bins
+            continue
+        if now_bins + lower_bound(rest, capacity) >= best:
+            continue
+        key = tuple(sorted(rest.items()))
+        if seen.get(key, now_bins + 1) <= now_bins:
+            continue
+        if len(seen) < 1_000_000:  # what is not remembered is searched again
+            seen[key] = now_bins
+        closed = best_fit_decreasing(rest, capacity)
+        if now_bins + sum(b for b, _ in closed) < best:
+            incumbent, best = now_done + closed, now_bins + sum(b for b, _ in closed)
+        stack.append((rest, now_bins, now_waste, now_done, children(rest, now_waste)))
+    return Result(incumbent, best, bound, True)
+
+
+def pack(counts: dict[int, int], capacity: int, seconds: float | None = None) -> Packing:
+    """[(number of bins, ((length, items), ...)), ...] that holds every item of ``counts`` (length -> items)."""
+    return solve(counts, capacity, seconds).packing

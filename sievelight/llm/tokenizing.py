@@ -2,19 +2,35 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
 
 #: Chunks of text whose ids a worker remembers, in each of two generations.
 REMEMBER = 400_000
+#: The splitter of the vocabulary that is encoded word by word.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PUNCTUATION = b",.!?;:#%&$*|"
 _LOWER = bytes(range(256)).lower()
 
 
+def _splits_at_words(file: dict) -> bool:
+    """Whether the parts of a file are those for which texts can be encoded word by word."""
+    normal, splitter = file.get("normalizer") or {}, file.get("pre_tokenizer") or {}
+    first = (splitter.get("pretokenizers") or [{}])[0]
+    return (
+        [n.get("type") for n in normal.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        and normal["normalizers"][1].get("pattern") == {"Regex": r"\s+"} and normal["normalizers"][1].get("content") == " "
+        and first.get("pattern") == {"Regex": WORDS} and first.get("behavior") == "Removed" and first.get("invert") is True
+        and [p.get("type") for p in splitter["pretokenizers"]] == ["Split", "ByteLevel"]
+        and not splitter["pretokenizers"][1].get("use_regex") and not splitter["pretokenizers"][1].get("add_prefix_space") and not file.get("post_processor")
+    )
+
+
 class WordTokenizer:
-    """Ids of a ``tokenizers`` file that lower-cases and whose pre-tokenizer never crosses white space or the end of a run of
-    letters, such as ``word_bpe_49k.json``.
+    """Ids of a ``tokenizers`` file, word by word where its parts allow it, as those of ``word_bpe_49k.json`` do: it lower-cases
+    and its splitter never crosses white space or the end of a run of letters. Texts of any other file go to the library whole.
 
     A text is cut at ASCII white space and the ids of each chunk are remembered, since words recur. The file's normalizer
     and splitter treat the chunks one by one, so the result is that of the whole text. A new chunk that ends in ASCII
@@ -27,6 +43,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = _splits_at_words(json.loads(self.tokenizer.to_str()))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
@@ -34,7 +51,7 @@ class WordTokenizer:
     def ids(self, text: str | None) -> np.ndarray:
         """The ids of a text, as little-endian unsigned 32-bit numbers."""
         text = text or ""
-        if any(s in text for s in self.special):
+        if not self.by_words or any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         chunks = text.encode("utf-8", "replace").translate(_LOWER).split()
         if len(self.known) > REMEMBER:
