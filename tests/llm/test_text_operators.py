@@ -115,8 +115,65 @@ def test_linked_across_documents_and_cases():
     assert b == f"x {a.upper()} y"
 
 
+def test_alphabets_are_classes():
+    for c in "aZ5éÉßÿяЯёωΩ日ĸʟªºا٣":
+        letters = pii._alphabet(c)
+        assert c in letters and len(set(letters)) == len(letters) > 1
+        assert all(pii._alphabet(x) == letters for x in letters[:40]), c
+
+
+ADDRESSES = ["иван@mail.ru", "ИВАНОВ.П@почта.рф", "straße@x.de", "ß@x.de", "ivan+иван@x.de", "a" * 80 + "@b.org", "long" * 900 + "@b.org", "日本@x.jp", "éñ.5@b.org"]
+
+
+@pytest.mark.parametrize("value", ADDRESSES)
+def test_no_part_of_an_address_stays(value):
+    text = f"write to {value}, soon"
+    safe, found = pii.pseudonymise(text)
+    local = value.split("@")[0]
+    assert [k for _, _, k in found] == ["email"] and pii.reveal(safe) == text
+    new = safe[len("write to ") :].split("@")[0]
+    assert len(new) == len(local) and not any(local[i : i + 6] == new[i : i + 6] for i in range(max(1, len(local) - 6)))
+
+
+@pytest.mark.parametrize("forms,canonical", [
+    (["2024-02-29", "29.02.2024", "29/02/2024", "2/29/2024", "02/29/2024"], lambda s: tuple(sorted(map(int, re.findall(r"\d+", s))))),
+    (["3/4/2020", "03/04/2020", "3.4.2020", "2020-04-03"], lambda s: tuple(sorted(map(int, re.findall(r"\d+", s))))),
+    (["+962791234567", "+962 79 123 4567", "+962-79-1234567"], lambda s: re.sub(r"\D", "", s)),
+    (["(415) 555-2671", "415 555 2671", "415-555-2671", "1-415-555-2671", "+1 (415) 555-2671"], lambda s: re.sub(r"\D", "", s)[-10:]),
+    (["DE89370400440532013000", "DE89 3704 0044 0532 0130 00"], lambda s: s.replace(" ", "")),
+    (["4000-0000-0000-0002", "4000 0000 0000 0002", "4000000000000002"], lambda s: re.sub(r"\D", "", s)),
+])
+def test_one_value_in_all_its_forms(forms, canonical):
+    safe = [pii.pseudonymise(f)[0] for f in forms]
+    assert len({canonical(s) for s in safe}) == 1 and canonical(safe[0]) != canonical(forms[0])
+    assert [pii.reveal(s) for s in safe] == forms
+    assert [re.sub(r"\d|[A-Z](?=[\dA-Z])", "9", s) for s in safe] == [re.sub(r"\d|[A-Z](?=[\dA-Z])", "9", f) for f in forms]
+
+
+def test_values_beside_others():
+    for text, kinds in [("ES9121000418450200051332 EUR 12", ["iban"]), ("at 2001:db8::1 and 12:30:45 std::x", ["ipv6"]), ("2001:0db8:0000:0000:0000:ff00:0042:8329", ["ipv6"]), ("a@b.cc 1.1.1999@x", ["email", "date"])]:
+        safe, found = pii.pseudonymise(text)
+        assert [k for _, _, k in found] == kinds and pii.reveal(safe) == text and safe != text
+
+
+FILLER = st.lists(st.sampled_from(["lorem", "ipsum;", "\n", "12", "x7", "(see", "end.", "", "—", "№ 5"]), max_size=5).map(" ".join)
+PLANTED = st.sampled_from(["anna.b@mail.example.com", "иван@mail.ru", "4000-0000-0000-0002", "123-45-6789", "97.51.17.173", "+962 79 123 4567", "(017) 555-7713", "2001-03-04", "DE89 3704 0044 0532 0130 00"])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(FILLER, PLANTED), min_size=1, max_size=4))
+def test_planted_values_are_found_whatever_stands_around(parts):
+    text = "".join(f"{f} {v} " for f, v in parts)
+    safe, found = pii.pseudonymise(text)
+    assert len(found) == len(parts) and pii.reveal(safe) == text
+    assert [text[s:e] for s, e, _ in found] == [v.split("@")[0] if "@" in v else v for _, v in parts]
+    assert not any(v in safe for _, v in parts)
+
+
 def test_protect_table(spark):
     out = {r.doc_id: r for r in pii.protect(odd_docs(spark, [None, "", "ip 97.51.17.173"]).dropDuplicates(["doc_id"])).collect()}
+    clash = pii.protect(spark.createDataFrame([("a@b.org", "old", 1)], "text string, pii string, start int")).first()
+    assert clash["text"] != "a@b.org" and clash["pii"][0]["kind"] == "email" and clash["start"] == 1
     assert out[0].text is None and out[2].text != "ip 97.51.17.173" and out[2]["_row"] == "clash"
     assert pii.protect(odd_docs(spark).limit(0)).count() == 0
 
@@ -148,6 +205,14 @@ def test_mixing_counts(spark):
     assert len(set(keys)) == len(keys) and keys != sorted(keys, key=lambda k: k % 1000)
 
 
+def test_mixing_clashing_columns_and_many_sources(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "x" * (i % 5), f"s{i % 3}", 1, 2, 3, 4) for i in range(200)], "doc_id long, text string, source string, _source int, _rate int, _n int, row int")
+    few = sorted(map(tuple, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(tuple, mixing.mix(docs).collect())) == few
+    assert all(r[3:7] == (1, 2, 3, 4) for r in few) and mixing.mix(docs).columns == [*docs.columns, "copy", "repetition", "shuffle_key"]
+
+
 def test_mixing_large_means_and_edges(spark):
     one = spark.createDataFrame([(1, "a", "s")], "doc_id long, text string, source string")
     assert 1700 < mixing.mix(one, budget=4000.0).count() < 2300
