@@ -22,12 +22,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievelight.storage import materialise
+
 SEED = 42
 #: Largest mean of one inversion; larger means are split into equal parts, whose counts add up.
 MOST_MEAN = 500
 #: A table of rates with more sources is joined by a shuffle, salted against hot sources.
 BROADCAST_SOURCES = 100_000
 _SALTS = 32
+ADDED = ("copy", "repetition", "shuffle_key")
 
 
 def unit_hash(*parts: Column) -> Column:
@@ -54,12 +57,12 @@ def poisson_table(mean: Column) -> Column:
 def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, budget: float | None = None, source: str = "source", text: str = "text") -> DataFrame:
     """(source, size, repetition) per source."""
     size = F.length(F.coalesce(F.col(text), F.lit(""))) + 1
-    sizes = docs.groupBy(F.col(source).alias("source")).agg(F.sum(size.cast("long")).alias("size"))
+    sizes = materialise(docs.groupBy(F.col(source).alias("source")).agg(F.sum(size.cast("long")).alias("size")), "sources")  # read three times
     if weights is None:
         weighted = sizes.withColumn("weight", F.sqrt("size"))
     else:
         given = docs.sparkSession.createDataFrame([(s, float(w)) for s, w in weights.items()], "name string, weight double")
-        weighted = sizes.join(F.broadcast(given), F.col("source").eqNullSafe(F.col("name")), "left").select("source", "size", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+        weighted = sizes.join(given, F.col("source").eqNullSafe(F.col("name")), "left").select("source", "size", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     total = weighted.agg(F.sum("size").alias("size"), F.sum("weight").alias("weight")).first()
     if not total["weight"]:
         return weighted.select("source", "size", F.lit(0.0).alias("repetition"))
@@ -76,18 +79,20 @@ def mix(
     parts = F.greatest(F.ceil(r / MOST_MEAN), F.lit(1)).cast("int")
     table = rates(docs, weights, budget, source, text).select("source", "repetition", parts.alias("parts")).withColumn("cdf", poisson_table(r / F.col("parts")))
     table = table.select(F.col("source").alias("_source"), F.struct("repetition", "parts", "cdf").alias("_rate"))
-    kept = docs.drop("copy", "repetition", "shuffle_key")
+    # The row travels as one column, so that no column of its own can clash with those used here.
+    columns = [c for c in docs.columns if c not in ADDED]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col(source).alias("_key"), _id(F.col(doc_id)).alias("_id"))
     if table.count() <= BROADCAST_SOURCES:
-        rated = kept.join(F.broadcast(table), kept[source].eqNullSafe(F.col("_source")))
+        rated = rows.join(F.broadcast(table), F.col("_key").eqNullSafe(F.col("_source")))
     else:
         table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-        salted = kept.withColumn("_at", F.pmod(F.xxhash64(doc_id), F.lit(_SALTS)).cast("int"))
-        rated = salted.join(table, salted[source].eqNullSafe(F.col("_source")) & (F.col("_at") == F.col("_salt"))).drop("_at", "_salt")
-    name = _id(F.col(doc_id))
+        salted = rows.withColumn("_at", F.pmod(F.xxhash64("_id"), F.lit(_SALTS)).cast("int"))
+        rated = salted.join(table, F.col("_key").eqNullSafe(F.col("_source")) & (F.col("_at") == F.col("_salt")))
+    name = F.col("_id")
     units = F.transform(F.sequence(F.lit(0), F.col("_rate.parts") - 1), lambda j: unit_hash(F.lit(str(seed)), j.cast("string"), name))
     count = F.aggregate(units, F.lit(0), lambda n, u: n + F.size(F.filter("_rate.cdf", lambda c: c <= u)))
     counted = rated.withColumn("_n", count).where("_n > 0")
-    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).withColumn("repetition", F.col("_rate.repetition"))
+    copies = counted.select("row", "_id", F.col("_rate.repetition").alias("repetition"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("copy"))
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}:shuffle"), name, F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long")
-    dealt = copies.withColumn("shuffle_key", key).drop("_n", "_rate", "_source")
+    dealt = copies.withColumn("shuffle_key", key).select("row.*", *ADDED)
     return dealt.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
