@@ -10,7 +10,8 @@ Embeddings and softmax are trained together by Adam on a bounded sample of label
 so that a word's contribution is one number, which each worker remembers.
 
 Defined results: a null or empty text has no passage and gets the softmax of the bias alone. Repeated rows score alike; a
-null id is an id; rows labelled more than once count once a label; null labels are not learned from. Without labelled rows
+null id is an id that no label names; rows labelled more than once count once a label, and of labelled rows that share an id
+the shortest text is learned from; null labels are not. A column ``score`` is replaced. Without labelled rows
 of both classes the score is the share of the one class seen, or 0. An empty table gives an empty result; columns that are
 not named play no part.
 """
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.llm.texts import column_type
+from sievelight.storage import materialise
 
 _WORD = re.compile(r"[^\W_]+")
 #: Most words whose contribution a worker remembers; it then starts anew.
@@ -181,16 +183,19 @@ def sample(docs: DataFrame, labels: DataFrame, s: Settings, doc_id: str, text: s
     """Labelled rows, at most ``most_toxic`` and ``most_other`` of either class drawn by a hash of the id, and of these as
     many as fit into ``most_chars``, one of a class at least; and the share of toxic ones among all labelled rows."""
     chosen = labels.where(F.col(label).isNotNull()).select(F.col(doc_id).alias("_id"), (F.col(label) > 0).cast("int").alias("y")).distinct()
-    # Ids are compared by value, so that only the labels' few columns and the ids travel before the sample is known.
+    # Ids are compared by value, so that only the labels' few columns and the ids travel before the sample is known. Of rows
+    # that share an id the shortest counts, so that no id brings more than one text to the driver.
     lengths = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.length(text), F.lit(0)).alias("n")).join(chosen, "_id")
+    lengths = materialise(lengths.groupBy("_id", "y").agg(F.min("n").alias("n")), "lengths")
     counts = {r["y"]: r["count"] for r in chosen.groupBy("y").count().collect()}
-    order = [F.xxhash64("_id", F.lit(s.seed)), F.col("_id"), F.col("n")]
+    order = [F.xxhash64("_id", F.lit(s.seed)), F.col("_id")]
     parts = [lengths.where(F.col("y") == y).orderBy(*order).limit(most).toPandas() for y, most in ((1, s.most_toxic), (0, s.most_other))]
     first = pd.concat([p[fitting(p["n"].to_numpy(), s.most_chars // 2)] for p in parts])[["_id", "y"]].drop_duplicates()
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     picked = docs.sparkSession.createDataFrame([(i, int(y)) for i, y in first.itertuples(index=False)], f"_id {column_type(docs, doc_id)}, y int")
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(picked), "_id").toPandas()
-    return rows.sort_values(["_id", "y", "text"]), share
+    found = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(picked), "_id")  # most_toxic + most_other ids
+    one = found.groupBy("_id", "y").agg(F.min(F.struct(F.coalesce(F.length("text"), F.lit(0)).alias("n"), "text")).alias("t")).select("_id", "y", "t.text")
+    return one.toPandas().sort_values(["_id", "y"]), share
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
