@@ -25,10 +25,35 @@ def request_problems(email: str = "email") -> Column:
     )
 
 
+def feedback_problems(vote: str = "vote") -> Column:
+    """What is wrong with a vote (verdict, model_version, language, reason_codes, email): the bounds of all that is stored."""
+    v = lambda f: F.col(f"{vote}.{f}")
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    long = lambda c, n: F.coalesce(F.length(c) > n, F.lit(False))
+    codes, links = v("reason_codes"), v("email.links")
+    bad_code = F.coalesce(F.exists(codes, lambda c: c.isNull() | (F.length(c) > 64)), F.lit(False))
+    bad_link = F.coalesce(F.exists(links, lambda x: x.isNull() | long(x["text"], 500) | long(x["href"], 2048)), F.lit(False))
+    return problems(
+        verdict=(~F.coalesce(v("verdict").isin("phishing", "suspicious", "safe"), F.lit(False)), "Verdict must be phishing, suspicious or safe."),
+        modelVersion=(long(v("model_version"), 100) | long(v("language"), 16), "Model version (100) or language (16) too long."),
+        reasonCodes=((size(codes) > 50) | bad_code, "At most 50 codes of up to 64 characters."),
+        email=(long(v("email.body"), 20_000) | long(v("email.subject"), 1_000) | long(v("email.sender_email"), 320) | (size(links) > 50) | bad_link, "Email too large."),
+    )
+
+
+def reason_codes(breakdown: Column) -> Column:
+    """The distinct codes of findings with a weight, in the order of the components."""
+    none = F.array().cast("array<string>")
+    of = lambda c: F.coalesce(F.transform(F.filter(breakdown[c]["findings"], lambda f: f["weight"] > 0), lambda f: f["code"]), none)
+    return F.array_distinct(F.concat(*map(of, ("headers", "links", "reputation", "attachments", "obfuscation"))))
+
+
 def implied_label(verdict: Column, correct: Column) -> Column:
-    """What a vote says about the mail: a confirmed verdict, or the opposite of a rejected one."""
-    warned = verdict.isin("phishing", "suspicious")
-    return F.when(warned & correct, "phishing").when(warned, "legitimate").when((verdict == "safe") & correct, "legitimate").when(verdict == "safe", "phishing")
+    """What a vote says about the mail: a confirmed verdict keeps its class, a rejected one has the other. ``suspicious`` says
+    nothing either way, so it has no label."""
+    sure = F.when(verdict == "phishing", "phishing").when(verdict == "safe", "legitimate")
+    other = F.when(verdict == "phishing", "legitimate").when(verdict == "safe", "phishing")
+    return F.when(correct, sure).when(~correct, other)
 
 
 def bucket_of(key: Column, buckets: int = 100) -> Column:

@@ -51,19 +51,14 @@ to_unicode = _mapped(host_to_unicode, "string")
 
 
 def chunk_text(text: str, soft: int = 350, hard: int = 600) -> list[str]:
-    """Sentence-like pieces of up to ``soft`` characters; a sentence over ``hard`` is cut."""
+    """Sentences put together while they have ``soft`` characters at most; what is longer by itself keeps ``hard`` of them."""
     out, now = [], ""
-    for sentence in re.split(r"(?<=[.!?؟])\s+|\n+", text):
-        while len(sentence) > hard:
-            out += [now] if now else []
-            out.append(sentence[:hard])
-            now, sentence = "", sentence[hard:]
-        if now and len(now) + 1 + len(sentence) > soft:
+    for sentence in re.split(r"(?<=[.!?\n])\s+", text):
+        if now and len(now) + len(sentence) > soft:
             out.append(now)
-            now = sentence
-        elif sentence:
-            now = f"{now} {sentence}" if now else sentence
-    return out + ([now] if now else [])
+            now = ""
+        now = f"{now} {sentence}" if now else sentence
+    return [c[:hard] for c in (*out, now) if c.strip()]
 
 
 chunks = _mapped(chunk_text, "array<string>")

@@ -189,9 +189,24 @@ def is_public_address(ip: Column) -> Column:
 
 
 def rate_key(ip: Column) -> Column:
-    """IPv4 as it is, IPv6 by its first four groups (written out)."""
-    full = F.split(ip, "::")
-    return F.when(F.contains(ip, F.lit(":")), F.array_join(F.slice(F.concat(F.split(F.get(full, F.lit(0)), ":"), F.array_repeat(F.lit("0"), 4)), 1, 4), ":")).otherwise(ip)
+    """The bucket of a client: an IPv4 address, also one mapped into IPv6, by itself; IPv6 by its first 64 bits, whatever the
+    spelling; ``ip:unknown`` for null."""
+
+    def groups(t: Column) -> Column:
+        halves = F.split(t, "::")
+        side = lambda h: F.filter(F.split(F.coalesce(h, F.lit("")), ":"), lambda g: g != "")
+        left, right = side(F.get(halves, F.lit(0))), side(F.get(halves, F.lit(1)))
+        zeros = F.array_repeat(F.lit("0"), F.greatest(8 - F.size(left) - F.size(right), F.lit(0)))
+        full = F.when(F.size(halves) > 1, F.concat(left, zeros, right)).otherwise(left)
+        return F.transform(F.slice(full, 1, 4), lambda g: F.regexp_replace(g, "^0+(?=.)", ""))
+
+    def named(t: Column) -> Column:
+        v4 = F.regexp_extract(t, r"^(?:0*:){2,5}(?:0*:)?ffff:([0-9.]+)$", 1)
+        prefix = F.regexp_replace(F.array_join(groups(t), ":"), "(^|:)0(:0)*$", "")
+        v6 = F.concat(prefix, F.lit("::/64"))
+        return F.concat(F.lit("ip:"), F.when(t.isNull(), t).when(~F.contains(t, F.lit(":")), t).when(v4 != "", v4).otherwise(v6))
+
+    return F.coalesce(let(F.lower(F.regexp_replace(F.trim(ip), r"^\[|\]$|%.*$", "")), named), F.lit("ip:unknown"))
 
 
 def is_secure_endpoint(url: Column) -> Column:

@@ -26,14 +26,20 @@ BRANDS = [
     ("Al Rajhi Bank", "alrajhibank.com.sa", "al rajhi|alrajhi|الراجحي", True),
     ("STC", "stc.com.sa", "stc pay", False),
 ]
+# Where anyone can publish, and who rewrites links to count clicks.
 USER_CONTENT_HOSTS = (
-    "sites.google.com docs.google.com drive.google.com forms.gle storage.googleapis.com forms.office.com sharepoint.com "
-    "1drv.ms blob.core.windows.net s3.amazonaws.com r2.dev ipfs.io workers.dev notion.site typeform.com wixsite.com weebly.com"
+    "sites.google.com docs.google.com drive.google.com forms.gle storage.googleapis.com firebasestorage.googleapis.com "
+    "forms.office.com forms.microsoft.com sharepoint.com 1drv.ms onedrive.live.com blob.core.windows.net web.core.windows.net "
+    "s3.amazonaws.com r2.dev ipfs.io dweb.link cloudflare-ipfs.com trycloudflare.com workers.dev notion.site canva.site "
+    "my.canva.site typeform.com jotform.com wixsite.com weebly.com godaddysites.com webflow.io framer.website glitch.me "
+    "replit.app ngrok-free.app ngrok.io"
 ).split()
 CLICK_TRACKERS = (
     "mandrillapp.com sendgrid.net awstrack.me list-manage.com mcsv.net mailchi.mp hubspotlinks.com mailgun.org "
-    "sparkpostmail.com exacttarget.com rs6.net fireeye.com urldefense.com urldefense.proofpoint.com mimecastprotect.com "
-    "aweber.com sendibt2.com klclick.com pstmrk.it createsend.com mlsend.com"
+    "sparkpostmail.com klaviyomail.com cmail19.com cmail20.com exacttarget.com rs6.net fireeye.com urldefense.com "
+    "urldefense.proofpoint.com mimecastprotect.com cudasvc.com aweber.com sendibt2.com sendibt3.com spmailtechnolo.com "
+    "klclick.com pstmrk.it createsend.com mlsend.com convertkit-mail.com convertkit-mail2.com activehosted.com "
+    "omnisendlink.com customeriomail.com intercom-links.com"
 ).split()
 #: A starter list of public suffixes: those of the tests and of the test tables.
 SUFFIXES = (
@@ -44,27 +50,43 @@ SUFFIXES = (
 PRIVATE_SUFFIXES = "github.io pages.dev web.app blogspot.com netlify.app vercel.app".split()
 
 
+CATALOGUE = "brands array<struct<name string, domains array<string>, keywords array<string>, matchLabelInDomains boolean>>, userContentHosts array<string>"
+
+
+def _catalogue_file(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(CATALOGUE).option("multiLine", True).json(path)
+
+
 def brand_domains(spark: SparkSession, path: str | None = None) -> DataFrame:
     """(brand_ord, domain_ord, brand, domain, match_label); ``path`` names a JSON catalogue with a ``brands`` array."""
     if path:
-        schema = "brands array<struct<name string, domains array<string>, keywords array<string>, matchLabelInDomains boolean>>"
-        brands = spark.read.schema(schema).option("multiLine", True).json(path).select(F.posexplode("brands").alias("brand_ord", "b"))
+        brands = _catalogue_file(spark, path).select(F.posexplode("brands").alias("brand_ord", "b"))
         flat = brands.select("brand_ord", F.col("b.name").alias("brand"), F.coalesce("b.matchLabelInDomains", F.lit(True)).alias("match_label"), F.posexplode("b.domains").alias("domain_ord", "domain"))
         return flat.select("brand_ord", "domain_ord", "brand", "domain", "match_label")
     rows = [(i, j, name, d, match) for i, (name, domains, _, match) in enumerate(BRANDS) for j, d in enumerate(domains.split())]
     return spark.createDataFrame(rows, "brand_ord int, domain_ord int, brand string, domain string, match_label boolean")
 
 
-def brand_keywords(spark: SparkSession) -> DataFrame:
+def brand_keywords(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """(brand_ord, keyword_ord, brand, keyword), of the same catalogue."""
+    if path:
+        brands = _catalogue_file(spark, path).select(F.posexplode("brands").alias("brand_ord", "b"))
+        return brands.select("brand_ord", F.col("b.name").alias("brand"), F.posexplode("b.keywords").alias("keyword_ord", "keyword")).select("brand_ord", "keyword_ord", "brand", "keyword")
     rows = [(i, j, name, k) for i, (name, _, words, _) in enumerate(BRANDS) for j, k in enumerate(words.split("|"))]
     return spark.createDataFrame(rows, "brand_ord int, keyword_ord int, brand string, keyword string")
 
 
-def user_content_hosts(spark: SparkSession) -> DataFrame:
+def user_content_hosts(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """(ord, domain); ``path`` names a JSON catalogue with a ``userContentHosts`` array."""
+    if path:
+        return _catalogue_file(spark, path).select(F.posexplode("userContentHosts").alias("ord", "domain"))
     return spark.createDataFrame(list(enumerate(USER_CONTENT_HOSTS)), "ord int, domain string")
 
 
-def click_trackers(spark: SparkSession) -> DataFrame:
+def click_trackers(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """(domain); ``path`` names a text file with a domain a line."""
+    if path:
+        return spark.read.text(path).select(F.lower(F.trim("value")).alias("domain")).where("domain != '' and not startswith(domain, '#')").distinct()
     return spark.createDataFrame([(t,) for t in CLICK_TRACKERS], "domain string")
 
 

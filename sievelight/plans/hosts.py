@@ -26,6 +26,12 @@ class Catalogue:
     def default(spark: SparkSession) -> Catalogue:
         return Catalogue(dims.brand_domains(spark), dims.brand_keywords(spark), dims.user_content_hosts(spark), dims.click_trackers(spark), dims.suffix_rules(spark))
 
+    @staticmethod
+    def from_files(spark: SparkSession, brands: str | None = None, trackers: str | None = None, suffixes: str | None = None) -> Catalogue:
+        """From a JSON catalogue (brands with domains and keywords, userContentHosts), a list of trackers and a public suffix
+        list; brands, their keywords and the hosts come from one file, so that no two catalogues mix. None: the defaults."""
+        return Catalogue(dims.brand_domains(spark, brands), dims.brand_keywords(spark, brands), dims.user_content_hosts(spark, brands), dims.click_trackers(spark, trackers), dims.suffix_rules(spark, suffixes))
+
 
 def _by_suffix(hosts: DataFrame, listed: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
     """(host, hit): the first listed domain that is the host or above it. An equi-join of exploded suffixes."""
