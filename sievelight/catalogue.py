@@ -11,7 +11,7 @@ from sievelight.functions import headers as H
 from sievelight.functions import labels, text, urls
 from sievelight.operators import near_duplicates
 from sievelight.operators.components import connected_components
-from sievelight.plans import corpus, dims, evaluation, learning, rules, scoring
+from sievelight.plans import corpus, dims, evaluation, intake, learning, rules, scoring
 from sievelight.plans.hosts import Catalogue, host_facts, impersonations, mentioned_brands
 from sievelight.streaming import operations
 
@@ -115,12 +115,11 @@ def a13_threat_matches(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"""with blocks as (select doc_id, line, i, length(line) as n, max(length(line)) over (partition by doc_id) as m
     from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents))
-select doc_id, arg_min(line, n * 1000000 + i) as block from blocks where n >= 0.9 * m and n > 0 group by doc_id""")
+select doc_id, arg_min(line, n * 1000000 + i) as block from blocks where n >= 0.9 * m and m >= 20 group by doc_id""")
 def a17_largest_block(spark: SparkSession, d: str) -> DataFrame:
     """The smallest block that holds nine tenths of the longest block's text."""
-    b = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("n", F.length("line"))
-    longest = F.max("n").over(Window.partitionBy("doc_id"))
-    return b.withColumn("m", longest).where((F.col("n") >= 0.9 * F.col("m")) & (F.col("n") > 0)).groupBy("doc_id").agg(F.min_by("line", F.struct("n", "i")).alias("block"))
+    blocks = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    return intake.largest_block(blocks, "doc_id", "line", "i")
 
 
 @query("""select p_partkey, 'application/pdf' as mime_type, 'a:' || p_name || '.pdf' as name, 'https://x.example/f?id=' || (p_partkey::int) as url from part""")
@@ -239,7 +238,7 @@ def b18_b19_hashes(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", text.content_hash(F.col("text")).alias("hash"), text.stable_id(F.col("text")).alias("id"))
 
 
-_SHINGLES = r"""with w as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents),
+_SHINGLES = r"""with w as (select doc_id, regexp_extract_all(lower(text), '\p{L}+') as w from documents),
 s as (select distinct doc_id, md5(array_to_string(list_slice(w, i, i + 4), ' ')) as shingle from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from w)),
 q as (select * from s where left(shingle, 1) in ('0', '1', '2', '3'))"""
 
@@ -258,7 +257,8 @@ def b20_broken_translation(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def b22_mask_links(spark: SparkSession, d: str) -> DataFrame:
     m = read(spark, d, "documents").select("doc_id", "text", text.mask_links(F.col("text")).alias("m"))
-    return m.select("doc_id", "m.masked", "m.found", (text.unmask_links(F.col("m.masked"), F.col("m.found")) == F.col("text")).alias("restored"))
+    single = lambda t: text.strip(F.regexp_replace(t, r"[\s\p{Z}]+", " "))
+    return m.select("doc_id", "m.masked", "m.found", (single(text.unmask_links(F.col("m.masked"), F.col("m.found"))) == single(F.col("text"))).alias("restored"))
 
 
 @query()
@@ -268,14 +268,31 @@ def b23_chunks(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", F.posexplode(chunks("text")).alias("i", "chunk"))
 
 
-@query(r"""select doc_id, length(regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) >= 40 as valid from documents""")
+@query(r"""with k as (select doc_id, text, lang, source, len(regexp_extract_all(text, '[\x{0600}-\x{06FF}]')) as arabic, len(regexp_extract_all(text, '[\p{L}\p{N}_]')) as letters from documents)
+select doc_id, length(text) >= 40 and source <> '' and case when lang = 'en' then arabic = 0 else arabic / greatest(letters, 1) > (case when source like '%a%' then 0.3 else 0.55 end) end as valid,
+  length(text) + 4 >= 40 and arabic = 0 as english, (4 + arabic) / greatest(letters + 4, 1) > 0.3 and length(text) + 4 >= 40 as mixed from k""")
 def b24_valid_generated(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select("doc_id", text.valid_generated(F.col("text"), F.lit("en")).alias("valid"))
+    register = F.when(F.contains("source", F.lit("a")), "mixed").otherwise("formal")
+    t = F.col("text")
+    return read(spark, d, "documents").select(
+        "doc_id", text.valid_generated(t, F.col("source"), F.col("lang"), register).alias("valid"),
+        text.valid_generated(F.concat(F.lit("abc "), t), F.lit("s"), F.lit("en"), F.lit("")).alias("english"),
+        text.valid_generated(F.concat(F.lit("مرحب"), t), F.lit("s"), F.lit("ar"), F.lit("mixed")).alias("mixed"),
+    )
+
+
+LINK_LINES = [(1, " Sign in ", "https://a.example/", "Sign in: https://a.example/"), (2, "https://a.example/", "https://a.example/", "https://a.example/"), (3, None, "https://b.example/", "https://b.example/"), (4, "x", None, ""), (5, "  ", "https://c.example/", "https://c.example/")]
+
+
+@query(f"select id, said || case when said = '' then '' else chr(10) end || 'last: u' as said from {values([(i, s) for i, _, _, s in LINK_LINES], 'id, said')}")
+def b25_link_lines(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([(i, [(t, h), ("last", "u")]) for i, t, h, _ in LINK_LINES], "id int, links array<struct<text:string,href:string>>")
+    return rows.select("id", text.links_text(F.col("links")).alias("said"))
 
 
-@query(r"""select doc_id, nullif(regexp_extract('generated (' || source || ')', '^generated \((.+)\)$', 1), '') as generator, nullif(regexp_extract(source, '^generated \((.+)\)$', 1), '') as none from documents""")
+@query(r"""select doc_id, source as generator, source as none, 'm:7b' as first from documents""")
 def b26_generator(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select("doc_id", text.generator_of(F.concat(F.lit("generated ("), "source", F.lit(")"))).alias("generator"), text.generator_of(F.col("source")).alias("none"))
+    return read(spark, d, "documents").select("doc_id", text.generator_of(F.concat(F.lit("generated ("), "source", F.lit(")"))).alias("generator"), text.generator_of(F.col("source")).alias("none"), text.generator_of(F.concat(F.lit("x (m:7b) ("), "source", F.lit(")"))).alias("first"))
 
 
 TERMS = [("WordFeatures.verify|your", "verify your"), ("WordFeatures.numtoken|hours", "<number> hours"), ("CharFeatures.a|b|c", None)]
@@ -408,11 +425,18 @@ def b63_public_addresses(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(a,) for a, _ in ADDRESSES], "ip string").select("ip", urls.is_public_address(F.col("ip")).alias("public"))
 
 
-@query("""select user_id, '10.0.' || (user_id % 200) || '.1' as v4, '2001:db8:' || (user_id % 200) || ':1' as v6 from (select distinct user_id from events)""")
+RATE_KEYS = [
+    ("10.0.0.1", "ip:10.0.0.1"), ("::ffff:10.0.0.1", "ip:10.0.0.1"), ("::FFFF:10.0.0.2", "ip:10.0.0.2"), ("0:0:0:0:0:ffff:10.0.0.3", "ip:10.0.0.3"), ("::1", "ip:::/64"), ("2001:0DB8::1", "ip:2001:db8::/64"), ("2001:db8:0:0:1::", "ip:2001:db8::/64"),
+    ("2001:db8:5:0001:a:b:c:d", "ip:2001:db8:5:1::/64"), ("fe80::1%eth0", "ip:fe80::/64"), ("0:0:0:7::1", "ip:0:0:0:7::/64"), (None, "ip:unknown"),
+]
+
+
+@query(f"""select coalesce(ip, '') as ip, key from {values(RATE_KEYS, 'ip, key')} union all select '2001:db8:' || (user_id % 200) || ':1:2:3:4:5', 'ip:2001:db8:' || (user_id % 200) || ':1::/64' from (select distinct user_id from events)""")
 def b64_rate_keys(spark: SparkSession, d: str) -> DataFrame:
     n = (F.col("user_id") % 200).cast("string")
-    u = read(spark, d, "events").select("user_id").distinct()
-    return u.select("user_id", urls.rate_key(F.concat(F.lit("10.0."), n, F.lit(".1"))).alias("v4"), urls.rate_key(F.concat(F.lit("2001:db8:"), n, F.lit(":1:2:3:4:5"))).alias("v6"))
+    many = read(spark, d, "events").select("user_id").distinct().select(F.concat(F.lit("2001:db8:"), n, F.lit(":1:2:3:4:5")).alias("ip"))
+    ips = spark.createDataFrame([(i,) for i, _ in RATE_KEYS], "ip string").union(many)
+    return ips.select(F.coalesce("ip", F.lit("")).alias("ip"), urls.rate_key(F.col("ip")).alias("key"))
 
 
 @query("select page_id, url like 'https://%' as secure from pages")
@@ -441,7 +465,7 @@ def b74_validation(spark: SparkSession, d: str) -> DataFrame:
     return m.select("doc_id", F.get(F.map_keys("p"), F.lit(0)).alias("wrong"), (F.size("p") == 0).alias("fine"))
 
 
-@query("""select distinct v as verdict, c as correct, case when v in ('phishing', 'suspicious') and c then 'phishing' when v in ('phishing', 'suspicious') then 'legitimate' when c then 'legitimate' else 'phishing' end as label
+@query("""select distinct v as verdict, c as correct, case when v = 'suspicious' then null when (v = 'phishing') = c then 'phishing' else 'legitimate' end as label
 from (select unnest(['phishing', 'suspicious', 'safe']) as v), (select unnest([true, false]) as c)""")
 def b77_implied_labels(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.createDataFrame([(v, c) for v in ("phishing", "suspicious", "safe") for c in (True, False)], "verdict string, correct boolean")
@@ -530,12 +554,29 @@ def _mails(spark: SparkSession, rows: list[dict]) -> DataFrame:
     return spark.createDataFrame([tuple(r.get(f) for f in fields) for r in rows], rules.SUBMISSION)
 
 
-@query(f"select * from {values([(i, c) for i, _, _, _, c in LINK_CASES], 'email_id, codes')}")
+# What each finding weighs.
+LINK_WEIGHTS = [
+    ("ip-url", 0.45), ("punycode", 0.30), ("lookalike-domain", 0.60), ("user-content-host", 0.15), ("brand-on-user-content", 0.50), ("shortener", 0.15),
+    ("suspicious-tld", 0.12), ("userinfo-url", 0.40), ("filename-link-text", 0.10), ("tracked-link", 0.10), ("text-href-mismatch", 0.45),
+]
+HEADER_WEIGHTS = [
+    ("lookalike-sender", 0.65), ("brand-display-freemail", 0.50), ("brand-display-mismatch", 0.40), ("display-name-address", 0.45), ("reply-to-freemail", 0.35), ("reply-to-mismatch", 0.20),
+    ("auth-missing", 0.10), ("dmarc-fail", 0.50), ("compauth-fail", 0.35), ("spf-fail", 0.35), ("dkim-fail", 0.30), ("auth-none", 0.15), ("auth-pass", 0.0), ("verified-brand-sender", 0.0),
+]
+
+
+def _weighed(cases: list[tuple], weights: list[tuple]) -> str:
+    """SQL: the codes of each case and the noisy-OR of their weights; a soft SPF failure (case 6) weighs 0.15."""
+    return f"""select c.email_id, any_value(codes) as codes, coalesce(round(1 - product(1 - case when c.email_id = 6 and code = 'spf-fail' then 0.15 else weight end), 9), 0) as score
+from (select email_id, codes, unnest(string_split(codes, ',')) as code from {values(cases, 'email_id, codes')}) c left join {values(weights, 'name, weight')} w on code = name group by c.email_id"""
+
+
+@query(_weighed([(i, c) for i, _, _, _, c in LINK_CASES], LINK_WEIGHTS))
 def c_link_rules(spark: SparkSession, d: str) -> DataFrame:
     mails = rules.with_qr_links(_mails(spark, [{"email_id": i, "sender_email": s, "links": [{"text": t, "href": h}]} for i, s, t, h, _ in LINK_CASES]))
     links, c = rules.exploded_links(mails), Catalogue.default(spark)
     found = rules.link_findings(mails, links, rules.facts_for(mails, links, c), c)
-    return found.select("email_id", F.array_join(F.sort_array(F.transform("findings", lambda f: f["code"])), ",").alias("codes"))
+    return found.select("email_id", F.array_join(F.sort_array(F.transform("findings", lambda f: f["code"])), ",").alias("codes"), F.round("score", 9).alias("score"))
 
 
 _AUTH = "Authentication-Results: mx; spf={0}; dkim={1}; dmarc={2}"
@@ -545,15 +586,16 @@ HEADER_CASES = [
     (5, "Bob", "b@c.com", None, "Subject: x", "auth-missing"), (6, "Bob", "b@c.com", None, _AUTH.format("softfail", "fail", "fail"), "dkim-fail,dmarc-fail,spf-fail"),
     (7, "Bob", "b@c.com", None, "Authentication-Results: compauth=fail; dmarc=temperror; spf=pass", "compauth-fail"), (8, "Bob", "b@c.com", None, _AUTH.format("pass", "pass", "pass"), "auth-pass"),
     (9, "Apple", "id@email.apple.com", None, _AUTH.format("pass", "pass", "pass"), "auth-pass,verified-brand-sender"), (10, "Bob", "b@c.com", "b@d.com", _AUTH.format("none", "none", "none"), "auth-none,reply-to-mismatch"),
+    (11, "Bob", "b@c.com", None, _AUTH.format("fail", "pass", "pass"), "spf-fail"), (12, "Bob", "b@c.com", None, _AUTH.format("neutral", "none", "fail"), "auth-none,dmarc-fail"),
 ]
 
 
-@query(f"select * from {values([(r[0], r[5]) for r in HEADER_CASES], 'email_id, codes')}")
+@query(_weighed([(r[0], r[5]) for r in HEADER_CASES], HEADER_WEIGHTS))
 def c_header_rules(spark: SparkSession, d: str) -> DataFrame:
     mails = rules.with_qr_links(_mails(spark, [{"email_id": i, "sender_name": n, "sender_email": s, "reply_to": r, "raw_headers": h} for i, n, s, r, h, _ in HEADER_CASES]))
     links, c = rules.exploded_links(mails), Catalogue.default(spark)
     found = rules.header_findings(mails, links, rules.facts_for(mails, links, c), c)
-    return found.select("email_id", F.array_join(F.sort_array(F.transform("findings", lambda f: f["code"])), ",").alias("codes"))
+    return found.select("email_id", F.array_join(F.sort_array(F.transform("findings", lambda f: f["code"])), ",").alias("codes"), F.round("score", 9).alias("score"))
 
 
 @query(f"""with n as (select p_partkey, p_name || case (p_partkey % 7)::int when 0 then '.exe' when 1 then '.iso' when 2 then '.svg' when 3 then '.xlsm' when 4 then '.zip' when 5 then '.pdf.exe' else '.pdf' end as name, (p_partkey % 7)::int as k, p_partkey % 2 = 0 as pw from part)
@@ -906,6 +948,106 @@ def s1_s4_sets(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(known, "doc_id", "left_semi").unionByName(docs.join(known, "doc_id", "left_anti"))
 
 
+@query("""select doc_id, lang <> 'en' as verdict, length(text) > 100 as version, length(source) > 4 as codes, length(text) > 20000 as email from documents""")
+def b75_feedback_bounds(spark: SparkSession, d: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    email = F.struct(F.col("text").alias("body"), none.alias("subject"), none.alias("sender_email"), F.array().cast("array<struct<text:string,href:string>>").alias("links"))
+    vote = F.struct(F.when(F.col("lang") == "en", "safe").otherwise("other").alias("verdict"), F.col("text").alias("model_version"), F.lit("en").alias("language"), F.array(F.repeat("source", F.when(F.length("source") > 4, 65).otherwise(1))).alias("reason_codes"), email.alias("email"))
+    m = read(spark, d, "documents").select("doc_id", vote.alias("vote")).select("doc_id", F.map_keys(labels.feedback_problems()).alias("p"))
+    has = lambda k: F.array_contains("p", k)
+    return m.select("doc_id", has("verdict").alias("verdict"), has("modelVersion").alias("version"), has("reasonCodes").alias("codes"), has("email").alias("email"))
+
+
+@query(r"""select doc_id, case when length(source) > 300 or length(text) > 5000 then 'The demo accepts a subject of up to 300 and a body of up to 5000 characters.' when not regexp_matches(text, '[^\s\p{Z}]') then 'Provide a subject or a body.' end as body,
+  length(text) > 200 as sender, length(text) > 500 as link from documents""")
+def b75_demo_bounds(spark: SparkSession, d: str) -> DataFrame:
+    t, none = F.col("text"), F.lit(None).cast("string")
+    p = read(spark, d, "documents").select("doc_id", intake.demo_problems(none, t, t, none, none, t).alias("p"))
+    return p.select("doc_id", F.get(F.try_element_at("p", F.lit("body")), F.lit(0)).alias("body"), F.map_contains_key("p", "sender").alias("sender"), F.map_contains_key("p", "link").alias("link"))
+
+
+@query(r"""select page_id, 'a b' as subject, 'n' as link_text, url as href, 1 as n_links, case when length(url) > 40 then left(repeat(url, 9), 194) || '…' || right(repeat(url, 9), 60) else 'f' end as name, 1 as n_files, [url] as codes from pages""")
+def b76_submission(spark: SparkSession, d: str) -> DataFrame:
+    links = F.array(F.struct(F.lit(" n ").alias("text"), F.concat(F.lit("\t"), "url", F.lit(" ")).alias("href")), F.struct(F.lit("x").alias("text"), F.lit("  ").alias("href")))
+    name = F.when(F.length("url") > 40, F.repeat("url", 9)).otherwise(F.lit(" f "))
+    none = F.lit(None).cast("string")
+    files = F.array(F.struct(F.lit("").alias("name"), none.alias("mime_type")), F.struct(name.alias("name"), none.alias("mime_type")))
+    request = read(spark, d, "pages").select("page_id", F.lit(" a b ").alias("subject"), none.alias("sender_name"), none.alias("sender_email"), none.alias("reply_to"), links.alias("links"), files.alias("attachments"), F.array(F.lit(" "), F.concat(F.lit(" "), "url")).alias("qr_code_urls"))
+    m = intake.submission(request)
+    return m.select("page_id", "subject", F.col("links")[0]["text"].alias("link_text"), F.col("links")[0]["href"].alias("href"), F.size("links").alias("n_links"), F.col("attachments")[0]["name"].alias("name"), F.size("attachments").alias("n_files"), F.col("qr_code_urls").alias("codes"))
+
+
+@query("""select doc_id, case when n_chars % 3 = 0 then [source, 'z'] when lang = source then [lang, 'z'] else [lang, source, 'z'] end as codes from documents""")
+def b83_reason_codes(spark: SparkSession, d: str) -> DataFrame:
+    f = lambda code, weight: F.struct(code.alias("code"), weight.cast("double").alias("weight"))
+    part = lambda *fs: F.struct(F.array(*fs).alias("findings"))
+    weight = F.when(F.col("n_chars") % 3 == 0, 0).otherwise(0.2)
+    none = F.lit(None).cast("struct<findings:array<struct<code:string,weight:double>>>")
+    b = F.struct(part(f(F.col("lang"), weight)).alias("headers"), part(f(F.col("source"), F.lit(0.1)), f(F.col("source"), F.lit(0.5))).alias("links"), none.alias("reputation"), part(f(F.lit("y"), F.lit(0))).alias("attachments"), part(f(F.lit("z"), F.lit(1))).alias("obfuscation"))
+    return read(spark, d, "documents").select("doc_id", labels.reason_codes(b).alias("codes"))
+
+
+@query(r"""with t as (select page_id, unnest(regexp_extract_all(html, '(?is)<(?:a|area)\b[^>]*?\bhref\s*=\s*["''][^"'']+["''][^>]*>|<form\b[^>]*?\baction\s*=\s*["''][^"'']+["''][^>]*>')) as t, generate_subscripts(regexp_extract_all(html, '(?is)<(?:a|area)\b[^>]*?\bhref\s*=\s*["''][^"'']+["''][^>]*>|<form\b[^>]*?\baction\s*=\s*["''][^"'']+["''][^>]*>'), 1) as i from pages),
+k as (select page_id, i, lower(regexp_extract(t, '^<([A-Za-z0-9]+)', 1)) as tag, regexp_extract(t, '(?is)\b(?:href|action)\s*=\s*["'']([^"'']+)["'']', 1) as href from t)
+select page_id, tag, href, (row_number() over (partition by page_id order by i) - 1)::int as idx from k where href not like '#%'""")
+def a18_link_targets(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "pages").select("page_id", F.posexplode(intake.link_targets(F.col("html"))).alias("idx", "x")).select("page_id", "idx", "x.tag", "x.href")
+
+
+@query("""select page_id, case when length(url) % 2 = 0 then ['https://mail.google.com/' || page_id] else [] end as images, [url] as targets from pages""")
+def a21_qr_images(spark: SparkSession, d: str) -> DataFrame:
+    image = lambda src, w, h: F.struct(src.alias("src"), w.cast("int").alias("width"), h.cast("int").alias("height"))
+    shown = F.concat(F.lit("https://mail.google.com/"), F.col("page_id").cast("string"))
+    images = F.array(image(F.col("url"), F.lit(200), F.lit(200)), image(shown, F.when(F.length("url") % 2 == 0, 80).otherwise(79), F.lit(90)), image(F.lit("https://a.b.googleusercontent.com/x"), F.lit(100), F.lit(100)))
+    return read(spark, d, "pages").select("page_id", intake.qr_images(images).alias("images"), intake.qr_targets(F.array("url", F.lit("mailto:a@b.c"), "url")).alias("targets"))
+
+
+@query("""select doc_id, case when lang = 'en' then source when length(text) > 500 then lang else null end as value, case when lang = 'en' then 0 when length(text) > 500 then 1 else -1 end as strategy from documents""")
+def a16_located(spark: SparkSession, d: str) -> DataFrame:
+    found = intake.located(F.when(F.col("lang") == "en", F.col("source")), F.when(F.length("text") > 500, F.col("lang")))
+    return read(spark, d, "documents").select("doc_id", found.alias("x")).select("doc_id", "x.value", "x.strategy")
+
+
+@query("""select email_id, idx from (select *, row_number() over (order by hidden, r, idx) as seat from (select 1 as email_id, i as idx, i % 3 = 0 as hidden, row_number() over (partition by i % 3 = 0, i % 7 = 0 order by i) as r from range(500) t(i))) where seat <= 300""")
+def w2_visible_first(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("id")
+    href = F.concat(F.when(i % 7 == 0, "https://other.example/").otherwise("https://decoy.example/"), i.cast("string"))
+    links = spark.range(500).select(F.lit(1).alias("email_id"), i.alias("idx"), href.alias("href"), (i % 3 == 0).alias("hidden"))
+    return intake.select_links(links).select("email_id", "idx")
+
+
+@query("""select user_id as thread, event_id as begin, newest from (select user_id, event_id, row_number() over (partition by user_id order by event_id desc) as newest from events where event_id % 3 <> 0) where newest <= 10""")
+def w14_open_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Every third message of a page holds a copy of itself."""
+    e = read(spark, d, "events").select(F.col("user_id").alias("thread"), F.col("event_id").cast("double").alias("begin"))
+    inner = e.where("begin % 3 <> 0").withColumn("end", F.col("begin") + 0.5)
+    outer = inner.where("begin % 3 = 1").select("thread", (F.col("begin") - 0.1).alias("begin"), (F.col("begin") + 0.6).alias("end"))
+    return intake.open_messages(inner.union(outer)).select("thread", F.col("begin").cast("long").alias("begin"), "newest")
+
+
+@query("""select doc_id from (select doc_id, row_number() over (partition by source order by (lang = 'en') desc, md5('11|' || doc_id), doc_id) as n from documents) where n <= 8""")
+def w9_balanced_sample(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").withColumn("modern", F.col("lang") == "en")
+    return corpus.balanced_sample(docs, 8, ["source"], "modern", "doc_id").select("doc_id")
+
+
+@query("""select doc_id from (select doc_id, row_number() over (partition by source order by doc_id) as n from documents where lang <> 'de') where n <= 6 union all select doc_id from documents where lang = 'de'""")
+def w13_capped_unless_scarce(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.capped_unless(read(spark, d, "documents"), 6, ["source"], F.col("lang") == "de", "doc_id").select("doc_id")
+
+
+@query(f"""with h as (select distinct {HOST_SQL} as domain, length(url) % 2 = 0 as known from pages) select distinct domain from h where domain not in (select domain from h where known)""")
+def j18_unknown_domains(spark: SparkSession, d: str) -> DataFrame:
+    p = read(spark, d, "pages").select(urls.host_of(F.col("url")).alias("domain"), (F.length("url") % 2 == 0).alias("known"))
+    return corpus.unknown_domains(p, p.where("known").select("domain").distinct())
+
+
+@query(f"""with r as (select source, (y = (s > 0.5))::int as hit from ({_SCORED})) select source, count(*) as n, round_even(avg(hit), 4) as accuracy from r group by grouping sets ((), (source))""")
+def g18_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    rows = _scored(spark, d).select("source", F.when(F.col("y"), "phishing").otherwise("legitimate").alias("class"), F.create_map(F.lit("phishing"), F.col("s"), F.lit("legitimate"), F.lit(0.5)).alias("p"))
+    return evaluation.accuracy(rows, "class", "p", "source")
+
+
 # --- Operations -------------------------------------------------------------------------------------------------------
 
 

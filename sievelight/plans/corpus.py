@@ -72,6 +72,25 @@ def seeded_cap(rows: DataFrame, cap: Column | int, by: list[str], key: str, seed
     return rows.withColumn("_n", nth).where(F.col("_n") <= cap).drop("_n")
 
 
+def balanced_sample(rows: DataFrame, per_group: int, by: list[str], modern: str, key: str, seed: int = 11) -> DataFrame:
+    """At most ``per_group`` rows of each group, modern ones first, otherwise drawn by a hash of seed and key."""
+    order = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(modern), order, key))
+    return rows.withColumn("_n", nth).where(F.col("_n") <= per_group).drop("_n")
+
+
+def capped_unless(rows: DataFrame, cap: int, by: list[str], scarce: Column, order: str) -> DataFrame:
+    """The first ``cap`` rows of each group, and all that are ``scarce`` besides. Scarce rows take no places."""
+    common = rows.where(~F.coalesce(scarce, F.lit(False)))
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy(order))
+    return common.withColumn("_n", nth).where(F.col("_n") <= cap).drop("_n").unionByName(rows.where(scarce))
+
+
+def unknown_domains(domains: DataFrame, cache: DataFrame, key: str = "domain") -> DataFrame:
+    """Distinct domains that no cache row answers."""
+    return domains.select(key).where(F.col(key).isNotNull()).distinct().join(cache.select(key), key, "left_anti")
+
+
 def campaign_groups(rows: DataFrame) -> DataFrame:
     """Rows whose group_key is that of their campaign: the smallest one of all kept rows that a subject or near-equal text
     joins. Rows that are not kept join nothing and keep their own."""

@@ -74,6 +74,15 @@ def grouped_metrics(rows: DataFrame, actual: str, predicted: str, language: str,
     return with_rates(sets.agg(F.count("*").alias("n"), *confusion(a, p)).where(F.col("n") >= least))
 
 
+def accuracy(rows: DataFrame, actual: str, probabilities: str, source: str) -> DataFrame:
+    """(source, n, accuracy): how often the likeliest class (the first of equals by name) is the actual one, per source and, with a
+    null source, overall. ``probabilities`` is a map from class to probability."""
+    ranked = F.sort_array(F.transform(F.map_entries(probabilities), lambda e: F.struct((-e["value"]).alias("p"), e["key"].alias("k"))))
+    hit = (F.get(ranked, F.lit(0))["k"] == F.col(actual)).cast("double")
+    each = rows.select(F.col(source).alias("source"), F.coalesce(hit, F.lit(0.0)).alias("hit"))
+    return each.groupingSets([[], ["source"]], "source").agg(F.count("*").alias("n"), F.bround(F.avg("hit"), 4).alias("accuracy"))
+
+
 def brier(rows: DataFrame, p: Column, y: Column) -> DataFrame:
     return rows.agg(F.avg(F.pow(p - y.cast("double"), 2)).alias("brier"))
 
@@ -112,8 +121,8 @@ def top_pairs(rows: DataFrame, columns: list[str], k: int = 40) -> DataFrame:
 
 def what_if(rows: DataFrame, candidates: DataFrame) -> DataFrame:
     """Per (factor, min_days): the share of mails still warned, and warnings lost among phishing. ``rows`` has p, other,
-    age_days, class and threshold; candidates are few."""
-    met = rows.join(F.broadcast(candidates))
+    age_days, class and threshold; the candidates are few, and all are meant to meet all rows."""
+    met = rows.join(candidates)  # a few rows, which Spark sees
     trusted = (F.col("age_days") >= F.col("min_days")) & (F.col("other") <= 0)
     score = 1 - (1 - F.col("p") * F.when(trusted, F.col("factor")).otherwise(1.0)) * (1 - F.col("other"))
     before = 1 - (1 - F.col("p")) * (1 - F.col("other"))

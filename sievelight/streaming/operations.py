@@ -19,12 +19,14 @@ def rate_limit(events: DataFrame, key: Column, ts: Column, limit: int = 60, orde
 def demo_limit(events: DataFrame, key: Column, ts: Column, visitor: int = 10, everyone: int = 60, order: str = "event_id") -> DataFrame:
     """Adds allowed: within the visitor's limit and, of all such, within the minute's global budget.
 
-    At most ``visitor`` events of each key reach the global window; one minute is one group of it.
+    Of each key ``visitor`` events a minute compete for the budget; the others are refused before that and take no part in the
+    minute's ranking. ``order`` is unique.
     """
     minute = F.date_trunc("minute", ts)
     own = events.withColumn("_own", F.row_number().over(Window.partitionBy(key, minute).orderBy(ts, order)) <= visitor)
-    turn = F.row_number().over(Window.partitionBy(minute, "_own").orderBy(ts, order))
-    return own.withColumn("allowed", F.col("_own") & (turn <= everyone)).drop("_own")
+    turn = F.row_number().over(Window.partitionBy(minute).orderBy(ts, order))
+    within = own.where("_own").select(F.col(order).alias("_id"), turn.alias("_turn")).where(F.col("_turn") <= everyone)
+    return own.join(within, F.col(order) == F.col("_id"), "left").withColumn("allowed", F.col("_turn").isNotNull()).drop("_own", "_turn", "_id")
 
 
 def feedback_summary(votes: DataFrame) -> DataFrame:

@@ -60,8 +60,9 @@ def test_visible_body(spark):
 def test_masks(spark):
     t = "see https://a.example/x and a@b.example or https://a.example/x"
     m = text.mask_links(F.col("t"))
-    assert one(spark, m["masked"], t=t) == "see [[0]] and [[1]] or [[2]]"
-    assert one(spark, text.unmask_links(m["masked"], m["found"]), t=t) == t
+    assert one(spark, m["masked"], t=t) == "see  X0X  and  X1X  or  X2X "
+    assert one(spark, text.unmask_links(m["masked"], m["found"]), t=t).split() == t.split()
+    assert one(spark, text.unmask_links(F.lit("lost X1X"), m["found"]), t=t) == "lost a@b.example https://a.example/x https://a.example/x"
     assert chunk_text("One. Two! " + "x" * 700, 10, 600)[0] == "One. Two!"
 
 
@@ -227,3 +228,41 @@ def test_noisy_or_of_all_events(spark):
     data = "/root/testdata/sf0.001"
     out = catalogue.QUERIES["b90_noisy_or_all"](spark, data).collect()
     assert sum(r.n for r in out) == spark.read.parquet(f"{data}/events.parquet").where("value is not null").count()
+
+
+@pytest.mark.parametrize("given,expected", [
+    ("", False), ("123 456", False), ("a" * 20, True), (" " * 25, True), ("word word word word word word next", True), ("هذا نص عربي سليم تماما", False), ("mostly english here", True),
+])
+def test_broken_translation(spark, given, expected):
+    assert one(spark, text.broken_translation(F.col("t")), t=given) is expected
+
+
+def test_chunks_keep_what_fits():
+    assert chunk_text("One. Two.\nThree") == ["One. Two. Three"]
+    assert chunk_text(f"{'a' * 300}. {'b' * 100}") == ["a" * 300 + ".", "b" * 100]
+    assert chunk_text("x" * 700) == ["x" * 600] and chunk_text(" \n ") == []
+
+
+def test_catalogue_from_one_file(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"brands": [{"name": "Acme", "domains": ["acme.test", "acme.example"], "keywords": ["acme corp"]}, {"name": "Cab", "domains": ["cab.test"], "keywords": [], "matchLabelInDomains": false}], "userContentHosts": ["pages.acme.test"]}')
+    (tmp_path / "t.txt").write_text("# clicks\ntrack.test\n\n")
+    c = Catalogue.from_files(spark, str(tmp_path / "c.json"), str(tmp_path / "t.txt"))
+    assert [(r.brand, r.domain, r.match_label) for r in c.domains.orderBy("brand_ord", "domain_ord").collect()] == [("Acme", "acme.test", True), ("Acme", "acme.example", True), ("Cab", "cab.test", False)]
+    assert [r.keyword for r in c.keywords.collect()] == ["acme corp"] and [r.domain for r in c.platforms.collect()] == ["pages.acme.test"] and [r.domain for r in c.trackers.collect()] == ["track.test"]
+
+
+def test_storage_is_shared_or_refused(spark, monkeypatch):
+    from sievelight import storage
+
+    table = storage.materialise(spark.range(3), "three")
+    assert table.count() == 3
+    storage.discard(table, spark.range(1))
+    with pytest.raises(Exception):
+        spark.read.parquet(table._stored_at).count()
+
+    class Elsewhere:
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: None)})
+        sparkContext = type("S", (), {"getConf": staticmethod(lambda: {}), "master": "spark://host:7077", "applicationId": "x"})
+
+    with pytest.raises(RuntimeError):
+        storage.shared_dir(Elsewhere)
