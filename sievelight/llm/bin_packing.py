@@ -8,8 +8,8 @@ item that is left: the fillings of its remaining space are enumerated, the fulle
 Fillings are enumerated lazily and completely, but for dominated ones: where a filling has room for an item that is left, or
 for a longer item in place of a shorter one, the filling with that exchange is at least as good and comes up by itself. A
 branch ends when what it has wasted exceeds what a packing with one bin less than the incumbent's may waste, when the lower bound of
-its rest says so, or when the same rest was reached before with no more bins. Whenever the search goes deeper, best-fit
-decreasing closes the rest; a better packing becomes the incumbent at once.
+its rest says so, or when the same rest was reached before with no more bins. On the way down best-fit decreasing closes the
+rest; a better packing becomes the incumbent at once. So does the end of each way down itself.
 
 A filling that recurs is first used as often as the counts allow (so that large histograms are packed in a few levels), then
 less often, down to once: branches over multiplicities are part of the search.
@@ -30,6 +30,24 @@ Pattern = tuple[tuple[int, int], ...]
 Packing = list[tuple[int, Pattern]]
 
 
+#: Histograms with more lengths than this are looked at whole only every so many levels.
+FEW = 100
+
+
+class Path(NamedTuple):
+    """A packing so far: the way to it and its last step."""
+
+    before: Path | None
+    step: tuple[int, Pattern]
+
+    def all(self) -> Packing:
+        steps, at = [], self
+        while at is not None:
+            steps.append(at.step)
+            at = at.before
+        return steps[::-1]
+
+
 class Result(NamedTuple):
     """A packing, its bins, the lower bound, and whether no packing has fewer bins."""
 
@@ -170,7 +188,7 @@ def solve(counts: dict[int, int], capacity: int, seconds: float | None = None) -
                 yield times, tuple(sorted(used.items(), reverse=True)), w
 
     # A stack of (what is left, its bins, its waste, its packing, branches not tried yet): no recursion however deep.
-    stack = [(counts, 0, 0, [], children(counts, 0))]
+    stack = [(counts, 0, 0, None, children(counts, 0))]
     while stack and best > bound:
         left, bins, waste, done, branches = stack[-1]
         try:
@@ -191,20 +209,22 @@ def solve(counts: dict[int, int], capacity: int, seconds: float | None = None) -
             rest[m] -= times * k
             if not rest[m]:
                 del rest[m]
-        now_done = [*done, (times, pattern)]
+        now_done = Path(done, (times, pattern))
         if not rest:
-            incumbent, best = now_done, now_bins
-            continue
-        if now_bins + lower_bound(rest, capacity) >= best:
-            continue
-        key = tuple(sorted(rest.items()))
-        if seen.get(key, now_bins + 1) <= now_bins:
+            incumbent, best = now_done.all(), now_bins
             continue
-        if len(seen) < 1_000_000:  # what is not remembered is searched again
-            seen[key] = now_bins
-        closed = best_fit_decreasing(rest, capacity)
-        if now_bins + sum(b for b, _ in closed) < best:
-            incumbent, best = now_done + closed, now_bins + sum(b for b, _ in closed)
+        # Bounds, memory and closings cost a look at all lengths: on the way down a long histogram only now and then.
+        if len(rest) <= FEW or len(stack) % FEW == 0:
+            if now_bins + lower_bound(rest, capacity) >= best:
+                continue
+            key = tuple(sorted(rest.items()))
+            if seen.get(key, now_bins + 1) <= now_bins:
+                continue
+            if len(seen) < 1_000_000:  # what is not remembered is searched again
+                seen[key] = now_bins
+            closed = best_fit_decreasing(rest, capacity)
+            if now_bins + sum(b for b, _ in closed) < best:
+                incumbent, best = now_done.all() + closed, now_bins + sum(b for b, _ in closed)
         stack.append((rest, now_bins, now_waste, now_done, children(rest, now_waste)))
     return Result(incumbent, best, bound, True)
 
