@@ -1,23 +1,24 @@
 """A Katz backoff language model over words, trained and evaluated at corpus scale.
 
-Tokens are a text's words with A-Z lower-cased, then one end token. For a word v after a context u (the word before, or the
-beginning of the text)::
+Tokens are a text's words with A-Z lower-cased, then one end token. A token's context is the ``order - 1`` tokens before it,
+or as many as there are behind a beginning mark. For a word v after a context h, h' being h without its first token::
 
-    P(v | u) = d_r * c(u, v) / c(u)   if the pair was seen r = c(u, v) > 0 times in training
-             = alpha(u) * P(v)        otherwise
-    P(v)     = d'_c * c(v) / N        for a word seen c times; unknown words share what the discounts leave
+    P(v | h) = d_r * c(h, v) / c(h)      if h, v was seen r = c(h, v) > 0 times in training
+             = alpha(h) * P(v | h')      otherwise; alpha(h) = 1 for a context that was not seen
+    P(v)     = d'_c * c(v) / N           for a word seen c times; unknown words share what the discounts leave
 
-d are Good-Turing discounts for counts up to ``K``, from the counts of counts; alpha(u) makes the probabilities after u, the
-class of unknown words included, sum to one exactly. A context whose counts are all above K gives up one count, and so do
-words if none is rare. Where the counts of counts do not allow this they are smoothed by a line in
+d are Good-Turing discounts for counts up to ``K``, from the counts of counts of each length; alpha(h) makes the probabilities
+after h, the class of unknown words included, sum to one exactly. A context whose counts are all above K gives up one count,
+and so do words if none is rare. Where the counts of counts do not allow this they are smoothed by a line in
 logarithms first, and where some are missing an absolute discount takes its place.
 
 How it runs: documents are encoded in chunks of about ``CHUNK`` tokens (word numbers of the chunk's own vocabulary), which
-are written once. A chunk sends its distinct words, then its distinct pairs, as packed arrays to hash buckets; each bucket
-adds the counts up, writes them as a table partitioned by bucket, and answers with the totals of what it was asked. So a word
-or pair is shuffled once per chunk that has it, however frequent it is. Pairs are dealt by their context, so that a bucket
-knows all that followed it; a context with more than a bucket's share is dealt over several, and their few sums are added on
-the driver. Buckets and chunks are bounded; their numbers grow with the corpus.
+are written once. A chunk sends its distinct words as packed arrays to hash buckets; each bucket adds the counts up, numbers
+the words, writes them as a table partitioned by bucket, and answers with the totals of what it was asked. Then the same for
+pairs, triples and so on: an n-gram is the number of the shorter one that is its context and a word's number. So an n-gram is
+shuffled once per chunk that has it, however frequent it is. N-grams are dealt by their context, so that a bucket knows all
+that followed it; a context with more than a bucket's share is dealt over several, and their few sums are added on the
+driver. Buckets and chunks are bounded; their numbers grow with the corpus.
 
 Defined results: a null or empty text is its end token alone. Very long texts stay whole in one chunk, of their own size.
 Repeated rows are texts of their own. A null id is an id; a null ``held_out`` is in training. Without training rows all
@@ -41,6 +42,7 @@ from sievelight.llm.texts import byte_words, column_type
 from sievelight.storage import materialise
 
 K = 5
+ORDER = 3
 CHUNK = 1 << 21
 BUCKET = 3 << 20
 #: The context of a text's first token, and what stands for an unknown word.
@@ -123,6 +125,22 @@ class Words:
         return np.where(counts > 0, self.discounts(counts) * counts, self.spare) / (self.tokens + self.extra)
 
 
+@dataclass(frozen=True)
+class Level:
+    """What all must know of the n-grams of one length: where each bucket's numbers begin, their discounts, and the sums of
+    contexts that are dealt over several buckets."""
+
+    n: int
+    offsets: np.ndarray
+    discounts: Discounts
+    hot: np.ndarray
+    hot_sums: np.ndarray
+
+    @property
+    def kind(self) -> str:
+        return f"{self.n}-grams"
+
+
 def _hist(counts: np.ndarray) -> np.ndarray:
     """How many of ``counts`` are 1, ..., K + 1, at those places."""
     return np.bincount(counts[(counts > 0) & (counts <= K + 1)], minlength=K + 2)[: K + 2].astype(np.int64)
@@ -180,45 +198,97 @@ class Chunk:
             these = self.order[self.cuts[k] : self.cuts[k + 1]]
             yield k, zstandard.compress(b" ".join([self.vocab[i] for i in these.tolist()]), 1), counts[these]
 
-    def learn_words(self, answers: pd.DataFrame, offsets: np.ndarray) -> None:
-        """Takes the buckets' answers: numbers and training counts of the words."""
-        self.number = np.full(len(self.vocab) + 1, UNKNOWN, np.int64)
-        self.count = np.zeros(len(self.vocab) + 1, np.int64)
+    def learn_words(self, answers: pd.DataFrame, offsets: np.ndarray, words: Words, begins: int) -> None:
+        """Takes the buckets' answers: numbers and training counts of the words. From here on, ``gram`` has the n-gram that
+        ends at each token (-1: none that was asked for), and ``number`` and ``count`` are by n-gram; ``p`` is what the
+        model so far gives each token, and ``whole`` what the count of a token's n-gram is a part of."""
+        size = len(self.vocab)
+        self.number = np.full(size + 1, UNKNOWN, np.int64)
+        self.count = np.zeros(size + 1, np.int64)
         for k, value in zip(answers["bucket"].astype(int), answers["x"]):
             local, counts = _unpack(value)
             these = self.order[self.cuts[k] : self.cuts[k + 1]]
             self.number[these] = np.where(counts > 0, local + offsets[k], UNKNOWN)
             self.count[these] = counts
-        self.number[-1] = BEGIN
-
-    def pairs(self, tokens: int, begins: int) -> None:
-        """Distinct pairs after a known context, in the order in which they are asked for, and where each token's pair is.
-        A pair with an unknown word was never seen, but its context's sums are needed all the same."""
-        self.count[-1] = begins
-        context = np.concatenate(([0], self.flat[:-1]))
-        context[np.cumsum(self.sizes)[:-1]] = -1
-        context[:1] = -1
-        context[context < 0] = len(self.vocab)
-        self.context = context
-        size = len(self.vocab) + 1
-        code, place = np.unique(context * size + self.flat, return_inverse=True)
-        seen = np.bincount(place, self.train, len(code)).astype(np.int64)
-        u, v = np.divmod(code, size)
-        known = np.flatnonzero(self.count[u] > 0)
-        u, v = u[known], v[known]
-        # A context takes as many buckets as it has shares of the tokens; words are mixed so that neighbours part.
+        self.number[-1], self.count[-1] = BEGIN, begins
+        self.words, self.word_count = self.number, self.count
+        self.gram = self.flat
+        self.p = words.p(self.count[self.flat])
+        self.whole = np.full(len(self.flat), words.tokens + words.extra, np.int64)
+
+    def ask(self, n: int, tokens: int) -> None:
+        """Distinct n-grams after a known context, in the order in which they are asked for. One with an unknown word was
+        never seen, but its context's sums are needed all the same."""
+        starts = np.cumsum(self.sizes) - self.sizes
+        context = np.concatenate(([-1], self.gram[:-1]))
+        if n == 2:
+            context[starts] = len(self.vocab)
+        else:  # a text's first tokens have no context of this length
+            context[np.arange(len(context)) - np.repeat(starts, self.sizes) < n - 2] = -1
+        at = np.flatnonzero(context >= 0)
+        at = at[self.count[context[at]] > 0]
+        code, first, place = np.unique(context[at] * len(self.vocab) + self.flat[at], return_index=True, return_inverse=True)
+        u, v = np.divmod(code, len(self.vocab))
+        # A context takes as many buckets as it has shares of the tokens; numbers are mixed so that neighbours part.
         spread = 1 + self.count[u] * self.buckets // max(1, tokens)
         mixed = lambda x: (x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-        gu, gv = self.number[u], self.number[v]
+        gu, gv = self.number[u], self.words[v]
         where = (mixed(gu) + mixed(gv) % spread) % self.buckets
         order = np.lexsort((gv, gu, where))
-        self.u, self.v, self.pair_count = gu[order], gv[order], seen[known[order]]
-        self.u_count, self.v_count, self.spread = self.count[u[order]], self.count[v[order]], spread[order]
-        self.local_u = u[order]
-        self.pair_cuts = np.searchsorted(where[order], np.arange(self.buckets + 1))
-        asked = np.full(len(code), -1, np.int64)
-        asked[known[order]] = np.arange(len(order))
-        self.asked = asked[place]
+        self.at, self.context = at, context[at]
+        self.u, self.v, self.local_u, self.spread = gu[order], gv[order], u[order], spread[order]
+        self.seen = np.bincount(place, self.train[at], len(code)).astype(np.int64)[order]
+        shorter = at[first[order]]
+        self.shorter_count, self.shorter_whole = self.count[self.gram[shorter]], self.whole[shorter]
+        self.gram_cuts = np.searchsorted(where[order], np.arange(self.buckets + 1))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        self.next_gram = np.full(len(self.flat), -1, np.int64)
+        self.next_gram[at] = back[place]
+
+    def asked(self) -> Iterator[tuple[int, bytes]]:
+        """(bucket, n-grams in runs of one context, with training counts and what their context's mass is made of)."""
+        for k in np.flatnonzero(np.diff(self.gram_cuts)).tolist():
+            part = slice(self.gram_cuts[k], self.gram_cuts[k + 1])
+            u = self.u[part]
+            runs = _first(u)
+            lengths = np.diff(np.append(runs, len(u)))
+            steps = np.diff(u[runs], prepend=0)
+            hot = (self.spread[part][runs] > 1).astype(np.int8)
+            yield k, _pack(*map(_narrow, (steps, lengths)), self.v[part].astype(np.uint32), *map(_narrow, (self.seen[part], self.shorter_count[part], self.shorter_whole[part][runs])), hot)
+
+    def learn(self, level: Level, answers: pd.DataFrame) -> None:
+        """Takes the buckets' answers on what ``ask`` asked for."""
+        total, number = np.zeros(len(self.u), np.int64), np.full(len(self.u), UNKNOWN, np.int64)
+        left, mass = np.zeros(len(self.count)), np.zeros(len(self.count))
+        lost = np.array([level.discounts.lost(r) for r in range(1, K + 1)])
+        for k, value in zip(answers["bucket"].astype(int), answers["x"]):
+            part = slice(self.gram_cuts[k], self.gram_cuts[k + 1])
+            total[part], steps, *stats = _unpack(value)
+            if len(steps):  # not for the longest n-grams, which are no contexts
+                number[part] = np.where(total[part] > 0, np.cumsum(steps.astype(np.int64)) + level.offsets[k], UNKNOWN)
+            to = self.local_u[part][_first(self.u[part])]
+            left[to], mass[to] = np.stack(stats[:K], axis=1) @ lost, stats[K]
+        if len(level.hot):
+            place = np.minimum(np.searchsorted(level.hot, self.number), len(level.hot) - 1)
+            hot = (level.hot[place] == self.number) & (self.count > 0)
+            left[hot], mass[hot] = level.hot_sums[place[hot], :K] @ lost, level.hot_sums[place[hot], K]
+        # A context that was seen leaves (left / count) to words that did not follow it, and one count if nothing is left.
+        extra = (self.count > 0) & (left <= 0)
+        whole = np.maximum(self.count + extra, 1)
+        alpha = np.where((self.count > 0) & (mass > 0), np.where(extra, 1.0, left) / whole / (1 - mass), 1.0)
+        self.gram = self.next_gram
+        r = total[self.gram[self.at]]
+        self.whole = np.zeros(len(self.flat), np.int64)
+        self.whole[self.at] = whole[self.context]
+        self.p[self.at] = np.where(r > 0, level.discounts(r) * r / self.whole[self.at], alpha[self.context] * self.p[self.at])
+        self.number, self.count = number, total
+
+
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """The same whole numbers in the smallest type that holds them."""
+    kinds = [np.min_scalar_type(x) for x in (values.min(), values.max())] if len(values) else [np.int8]
+    return values.astype(np.result_type(*kinds))
 
 
 def _first(values: np.ndarray) -> np.ndarray:
@@ -241,44 +311,55 @@ def _count_words(rows: pd.DataFrame) -> pd.DataFrame:
     total = np.bincount(np.concatenate(asked), np.concatenate(given), len(number)).astype(np.int64)
     seen = total > 0
     local = np.cumsum(seen) - 1  # numbers for known words only
-    out = [(int(c), bucket, "word", _pack(local[a], total[a])) for c, a in zip(rows["chunk"], asked)]
+    out = [(int(c), bucket, "word", _pack(*map(_narrow, (local[a], total[a])))) for c, a in zip(rows["chunk"], asked)]
     out.append((_STATS, bucket, "word", _pack(np.array([seen.sum(), total.sum()]), _hist(total))))
     return pd.DataFrame(out, columns=["chunk", "bucket", "kind", "x"])
 
 
-def _count_pairs(words: Words):
-    """Adds up one bucket's pairs and, for each context, what its discounts leave and what its followers have as words."""
+def _count_grams(kind: str, shorter: Discounts, numbered: bool):
+    """Adds up one bucket's n-grams and, for each context, what its discounts leave and what its followers have as shorter
+    n-grams. ``numbered``: the n-grams seen in training are numbered, as contexts of longer ones."""
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
         bucket = int(rows["bucket"].iloc[0])
         parts = [_unpack(x) for x in rows["x"]]
-        u, v, given, v_count, hot = (np.concatenate([np.repeat(p[0], p[1]) for p in parts]), *(np.concatenate([p[i] for p in parts]) for i in (2, 3, 4)), np.concatenate([np.repeat(p[5], p[1]) for p in parts]))
+        lengths = [p[1].astype(np.int64) for p in parts]
+        run_u = np.concatenate([np.cumsum(p[0].astype(np.int64)) for p in parts])
+        contexts, run = np.unique(run_u, return_inverse=True)
+        v, given, shorter_count = (np.concatenate([p[i] for p in parts]) for i in (2, 3, 4))
+        shorter_whole, hot = (np.concatenate([p[i] for p in parts]) for i in (5, 6))
+        u = np.repeat(run, np.concatenate(lengths))
         key, first, place = np.unique(u.astype(np.uint64) << np.uint64(32) | v.astype(np.uint64), return_index=True, return_inverse=True)
         total = np.bincount(place, given, len(key)).astype(np.int64)
-        pu, seen = u[first], total > 0
-        runs = _first(pu)
-        contexts = pu[runs]
+        seen = total > 0
+        runs = _first(u[first])
         rare = np.stack([np.add.reduceat((total == r).astype(np.int64), runs) for r in range(1, K + 1)], axis=1)
-        mass = np.add.reduceat(np.where(seen, words.p(v_count[first]), 0.0), runs)
-        out, at = [], 0
+        of = np.empty(len(contexts), np.int64)
+        of[run] = shorter_whole
+        times = shorter_count[first].astype(np.int64)
+        mass = np.add.reduceat(np.where(seen, shorter(times) * times / of[u[first]], 0.0), runs)
+        local = np.cumsum(seen) - 1
+        out, at, run_at = [], 0, 0
         for c, p in zip(rows["chunk"], parts):
-            n = len(p[2])
-            mine = np.searchsorted(contexts, p[0])
-            out.append((int(c), bucket, "pair", _pack(total[place[at : at + n]], *rare[mine].T, mass[mine])))
-            at += n
-        several = np.flatnonzero(hot[first][runs])
-        out.append((_STATS, bucket, "pair", _pack(_hist(total), contexts[several], *rare[several].T, mass[several])))
+            mine, asked = run[run_at : run_at + len(p[0])], place[at : at + len(p[2])]
+            steps = np.diff(local[asked], prepend=0) if numbered else np.zeros(0, np.int64)
+            out.append((int(c), bucket, kind, _pack(*map(_narrow, (total[asked], steps, *rare[mine].T)), mass[mine])))
+            at, run_at = at + len(p[2]), run_at + len(p[0])
+        several = np.unique(run[hot > 0])
+        out.append((_STATS, bucket, kind, _pack(np.array([seen.sum()]), _hist(total), contexts[several], *rare[several].T, mass[several])))
         return pd.DataFrame(out, columns=["chunk", "bucket", "kind", "x"])
 
     return count
 
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out: str = "held_out", chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
-    """Trains on the rows that are not ``held_out`` (a boolean column) and scores all rows.
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out: str = "held_out", order: int = ORDER, chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
+    """Trains n-grams of up to ``order`` tokens on the rows that are not ``held_out`` (a boolean column) and scores all rows.
 
     Per row: doc_id, held_out, n_tokens, n_known (tokens seen in training), train_tokens, base_score (log10, add-one words)
     and score (log10 of the Katz model's probability of the text).
     """
+    if order < 1:
+        raise ValueError("order is the number of tokens of the longest n-gram")
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(held_out), F.lit(False)).alias("held"))
     kind = column_type(rows, "doc_id")
@@ -290,7 +371,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out:
     def ask_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for _, row in b.iterrows():
-                asked = [(row["chunk"], k, w, _pack(c)) for k, w, c in Chunk(row, buckets).words()]
+                asked = [(row["chunk"], k, w, _pack(_narrow(c))) for k, w, c in Chunk(row, buckets).words()]
                 yield pd.DataFrame(asked, columns=["chunk", "bucket", "words", "x"])
 
     asked = chunks.mapInPandas(ask_words, "chunk long, bucket int, words binary, x binary")
@@ -305,7 +386,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out:
     offsets = np.concatenate(([0], np.cumsum(offsets)[:-1]))
     words = Words.of(tokens, distinct, hist)
 
-    def mixed(*answers: DataFrame) -> DataFrame:
+    def mixed(answers: list[DataFrame]) -> DataFrame:
         """Chunks and the answers to them, in one table."""
         none = lambda t, c: F.lit(None).cast(t).alias(c)
         rows = chunks.select("chunk", none("int", "bucket"), F.lit("chunk").alias("kind"), "x", "doc_ids", "sizes", "held", "vocab")
@@ -314,65 +395,49 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out:
             rows = rows.union(more)
         return rows
 
-    def opened(rows: pd.DataFrame) -> Chunk:
+    def opened(rows: pd.DataFrame, levels: list[Level]) -> Chunk:
         c = Chunk(rows[rows["kind"] == "chunk"].iloc[0], buckets)
-        c.learn_words(rows[rows["kind"] == "word"], offsets)
-        c.pairs(tokens, begins)
+        c.learn_words(rows[rows["kind"] == "word"], offsets, words, begins)
+        for level in levels:
+            c.ask(level.n, tokens)
+            c.learn(level, rows[rows["kind"] == level.kind])
         return c
 
-    def ask_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        c = opened(rows)
-        out = []
-        for k in np.flatnonzero(np.diff(c.pair_cuts)).tolist():
-            part = slice(c.pair_cuts[k], c.pair_cuts[k + 1])
-            runs = _first(c.u[part])
-            lengths = np.diff(np.append(runs, len(c.u[part])))
-            out.append((rows["chunk"].iloc[0], k, _pack(c.u[part][runs], lengths, c.v[part].astype(np.uint32), c.pair_count[part], c.v_count[part], (c.spread[part][runs] > 1).astype(np.int8))))
-        return pd.DataFrame(out, columns=["chunk", "bucket", "x"])
-
-    pairs = mixed(word_table).groupBy("chunk").applyInPandas(ask_pairs, "chunk long, bucket int, x binary")
-    pair_table = materialise(pairs.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_count_pairs(words), _ANSWER), "katz_pairs", ("bucket",))
-    pair_hist = np.zeros(K + 2, np.int64)
-    hot: dict[int, np.ndarray] = {}
-    for r in pair_table.where(F.col("chunk") == _STATS).select("x").collect():  # contexts in several buckets: two a bucket on average
-        h, contexts, *stats = _unpack(bytes(r["x"]))
-        pair_hist += h
-        for u, s in zip(contexts.tolist(), np.stack(stats, axis=1)):
-            hot[u] = hot.get(u, 0) + s
-    discounts = Discounts.of(pair_hist)
-    hot_u = np.array(sorted(hot), np.int64)
-    hot_stats = np.array([hot[u] for u in hot_u.tolist()]).reshape(-1, K + 1)
+    def asking(n: int, levels: list[Level]):
+        def ask(rows: pd.DataFrame) -> pd.DataFrame:
+            c = opened(rows, levels)
+            c.ask(n, tokens)
+            return pd.DataFrame([(rows["chunk"].iloc[0], *a) for a in c.asked()], columns=["chunk", "bucket", "x"])
+
+        return ask
+
+    tables, levels = [word_table], []
+    for n in range(2, order + 1):
+        grams = mixed(tables).groupBy("chunk").applyInPandas(asking(n, list(levels)), "chunk long, bucket int, x binary")
+        count = _count_grams(f"{n}-grams", levels[-1].discounts if levels else words.discounts, n < order)
+        table = materialise(grams.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(count, _ANSWER), f"katz_{n}_grams", ("bucket",))
+        sizes, gram_hist = np.zeros(buckets, np.int64), np.zeros(K + 2, np.int64)
+        hot: dict[int, np.ndarray] = {}
+        for r in table.where(F.col("chunk") == _STATS).select("bucket", "x").collect():  # contexts in several buckets: two a bucket on average
+            (sizes[r["bucket"]],), h, contexts, *stats = _unpack(bytes(r["x"]))
+            gram_hist += h
+            for u, sums in zip(contexts.tolist(), np.stack(stats, axis=1)):
+                hot[u] = hot.get(u, 0) + sums
+        numbers = np.array(sorted(hot), np.int64)
+        hot_sums = np.array([hot[u] for u in numbers.tolist()]).reshape(-1, K + 1)
+        levels.append(Level(n, np.concatenate(([0], np.cumsum(sizes)[:-1])), Discounts.of(gram_hist), numbers, hot_sums))
+        tables.append(table)
 
     def evaluate(rows: pd.DataFrame) -> pd.DataFrame:
-        c = opened(rows)
-        seen = np.zeros(len(c.u), np.int64)
-        left, mass = np.zeros(len(c.vocab) + 1), np.zeros(len(c.vocab) + 1)
-        lost = np.array([discounts.lost(r) for r in range(1, K + 1)])
-        answers = rows[rows["kind"] == "pair"]
-        for k, value in zip(answers["bucket"].astype(int), answers["x"]):
-            part = slice(c.pair_cuts[k], c.pair_cuts[k + 1])
-            seen[part], *stats = _unpack(value)
-            at = c.local_u[part][_first(c.u[part])]
-            left[at], mass[at] = np.stack(stats[:K], axis=1) @ lost, stats[K]
-        place = np.searchsorted(hot_u, c.number)
-        is_hot = (hot_u[np.minimum(place, len(hot_u) - 1)] == c.number) if len(hot_u) else np.zeros(len(c.number), bool)
-        left[is_hot], mass[is_hot] = hot_stats[place[is_hot], :K] @ lost, hot_stats[place[is_hot], K]
-        # A context that was seen leaves (left / count) to words that did not follow it, and one count if nothing is left.
-        known = c.count > 0
-        extra = known & (left <= 0)
-        size = np.maximum(c.count + extra, 1)
-        free = np.where(extra, 1.0, left) / size
-        alpha = np.where(known & (mass > 0), free / (1 - mass), 1.0)
-        p_word = words.p(c.count[c.flat])
-        r = np.where(c.asked >= 0, seen[c.asked] if len(seen) else 0, 0)
-        p = np.where(r > 0, discounts(r) * r / size[c.context], alpha[c.context] * p_word)
-        base = np.log10((c.count[c.flat] + 1) / (tokens + distinct + 1))
-        ends = np.cumsum(c.sizes)
-        per_doc = lambda x: np.add.reduceat(x, ends - c.sizes)
+        c = opened(rows, levels)
+        counts = c.word_count[c.flat]
+        base = np.log10((counts + 1) / (tokens + distinct + 1))
+        starts = np.cumsum(c.sizes) - c.sizes
+        per_doc = lambda x: np.add.reduceat(x, starts)
         return pd.DataFrame({
-            "doc_id": pd.Series(c.doc_ids, dtype=object), "held_out": c.held, "n_tokens": c.sizes, "n_known": per_doc((c.count[c.flat] > 0).astype(np.int64)),
-            "train_tokens": tokens, "base_score": per_doc(base), "score": per_doc(np.log10(p)),
+            "doc_id": pd.Series(c.doc_ids, dtype=object), "held_out": c.held, "n_tokens": c.sizes, "n_known": per_doc((counts > 0).astype(np.int64)),
+            "train_tokens": tokens, "base_score": per_doc(base), "score": per_doc(np.log10(c.p)),
         })
 
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return mixed(word_table, pair_table).groupBy("chunk").applyInPandas(evaluate, schema)
+    return mixed(tables).groupBy("chunk").applyInPandas(evaluate, schema)

@@ -1,6 +1,7 @@
 """Near-duplicates, packing, neighbours, language model, toxicity and the pipeline against brute force."""
 
 import collections
+import functools
 import math
 import random
 import re
@@ -298,51 +299,66 @@ def test_neighbour_distances_that_cancel(scale):
     assert np.allclose(neighbours._distances(mixed)[:21, :21], np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), rtol=1e-6, atol=0)
 
 
-def slow_katz(texts, held):
-    n1, n2, begin = collections.Counter(), collections.Counter(), 0
+def slow_katz(texts, held, order):
+    """The model in dictionaries of tuples: p(h, v) for a context h of any length."""
     tokens = [words_of(t) + [None] for t in texts]
+    counts, contexts = [collections.Counter() for _ in range(order)], collections.Counter()
     for ws, h in zip(tokens, held):
-        if not h:
-            n1.update(ws)
-            n2.update(zip(["<s>", *ws[:-1]], ws))
-            begin += 1
-    c = collections.Counter(n1, **{"<s>": begin})
-    total, distinct = sum(n1.values()), len(n1)
+        marked = ("<s>", *ws)
+        for n in range(1, order + 1):
+            for i in range(max(1, n - 1), len(marked)) if not h else ():
+                counts[n - 1][marked[i - n + 1 : i + 1]] += 1
+                contexts[marked[i - n + 1 : i]] += n > 1
     hist = lambda k: np.bincount([min(v, katz.K + 2) for v in k.values()] or [0], minlength=katz.K + 3)[: katz.K + 2]
-    words, d2 = katz.Words.of(total, distinct, hist(n1)), katz.Discounts.of(hist(n2)).d
-    p1 = lambda w: float(words.p(np.array([n1[w]]))[0])
-    disc = lambda r: d2[r] if r <= katz.K else 1.0
-    left, mass = collections.Counter(), collections.Counter()
-    for (u, v), r in n2.items():
-        left[u] += r * (1 - disc(r))
-        mass[u] += p1(v)
-
-    def p(u, v):
-        if not c[u]:
-            return p1(v)
-        extra = left[u] <= 0
-        if n2.get((u, v)):
-            return disc(n2[u, v]) * n2[u, v] / (c[u] + extra)
-        return (1.0 if extra else left[u]) / (c[u] + extra) / (1 - mass[u]) * p1(v)
-
-    return tokens, n1, total, distinct, p
-
-
-@pytest.mark.parametrize("chunk,bucket", [(katz.CHUNK, katz.BUCKET), (40, 20)])
-def test_katz_equals_brute_force_and_sums_to_one(spark, chunk, bucket):
+    n1 = collections.Counter({w: c for (w,), c in counts[0].items()})
+    words = katz.Words.of(sum(n1.values()), len(n1), hist(n1))
+    discounts = [katz.Discounts.of(hist(c)).d for c in counts]
+
+    def disc(n, r):
+        return discounts[n][r] if r <= katz.K else 1.0
+
+    followers = collections.defaultdict(list)
+    for n, level in enumerate(counts):
+        for gram, r in level.items():
+            followers[gram[:-1]].append((gram[-1], r, disc(n, r)))
+
+    @functools.cache
+    def parts(h):
+        left = sum(r * (1 - d) for _, r, d in followers[h])
+        extra = left <= 0
+        return contexts[h] + extra, (1.0 if extra else left) / (1 - sum(p(h[1:], v) for v, _, _ in followers[h]))
+
+    def p(h, v):
+        if not h:
+            return float(words.p(np.array([n1[v]]))[0])
+        if not contexts[h]:
+            return p(h[1:], v)
+        whole, free = parts(h)
+        r = counts[len(h)][(*h, v)]
+        return disc(len(h), r) * r / whole if r else free / whole * p(h[1:], v)
+
+    return tokens, n1, p
+
+
+@pytest.mark.parametrize("order,chunk,bucket", [(1, 40, 20), (2, 40, 20), (3, katz.CHUNK, katz.BUCKET), (3, 40, 20), (4, 200, 50)])
+def test_katz_equals_brute_force_and_sums_to_one(spark, order, chunk, bucket):
     rng = random.Random(7)
     vocabulary = [f"w{i}" for i in range(30)]
     texts = [None, "", "only once", "same same same same same same same"] + [" ".join(rng.choice(vocabulary[: rng.choice([3, 30])]) for _ in range(rng.randint(1, 40))) for _ in range(60)]
     held = [i % 7 == 2 for i in range(len(texts))]
-    tokens, n1, total, distinct, p = slow_katz(texts, held)
+    tokens, n1, p = slow_katz(texts, held, order)
+    total, distinct = sum(n1.values()), len(n1)
     docs = spark.createDataFrame([(i, t, h, "clash") for i, (t, h) in enumerate(zip(texts, held))], "doc_id long, text string, held_out boolean, chunk string")
-    got = {r.doc_id: r for r in katz.score(docs, chunk=chunk, bucket=bucket).collect()}
+    got = {r.doc_id: r for r in katz.score(docs, order=order, chunk=chunk, bucket=bucket).collect()}
     for i, ws in enumerate(tokens):
         assert got[i].n_tokens == len(ws) and got[i].n_known == sum(n1[w] > 0 for w in ws) and got[i].train_tokens == total
-        assert got[i].score == pytest.approx(sum(math.log10(p(u, v)) for u, v in zip(["<s>", *ws[:-1]], ws)), rel=1e-9)
+        marked = ("<s>", *ws)
+        expected = sum(math.log10(p(marked[max(0, j - order + 1) : j] if order > 1 else (), marked[j])) for j in range(1, len(marked)))
+        assert got[i].score == pytest.approx(expected, rel=1e-9)
         assert got[i].base_score == pytest.approx(sum(math.log10((n1[w] + 1) / (total + distinct + 1)) for w in ws), rel=1e-9)
-    for u in ["<s>", "never seen", *vocabulary[:5]]:
-        assert sum(p(u, v) for v in n1) + p(u, "no such word") == pytest.approx(1)
+    for h in [("<s>",), ("never seen",), ("<s>", "same"), ("same", "same"), ("w0", "w1"), ("w0", "w1", "w2"), *((w,) for w in vocabulary[:5])]:
+        if len(h) < order:
+            assert sum(p(h, v) for v in n1) + p(h, "no such word") == pytest.approx(1)
 
 
 def test_katz_edges(spark):
@@ -350,6 +366,8 @@ def test_katz_edges(spark):
     assert katz.score(spark.createDataFrame([], schema)).count() == 0
     alone = katz.score(spark.createDataFrame([(1, "a b", True), (None, "a", None)], schema).where("doc_id = 1")).first()
     assert alone.train_tokens == 0 and alone.score == 0
+    with pytest.raises(ValueError, match="order"):
+        katz.score(spark.createDataFrame([], schema), order=0)
     assert katz.score(spark.createDataFrame([(None, "a", None), (2, "a", False), (2, "a", False)], schema)).count() == 3
 
 
