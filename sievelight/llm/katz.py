@@ -45,6 +45,7 @@ K = 5
 ORDER = 3
 CHUNK = 1 << 21
 BUCKET = 3 << 20
+ZSTD = 3
 #: The context of a text's first token, and what stands for an unknown word.
 BEGIN, UNKNOWN = 0xFFFFFFFF, -1
 
@@ -57,7 +58,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
         # Bytes of equal weight stand together: small numbers compress to almost nothing.
         shuffled = raw.view(np.uint8).reshape(len(raw), -1).T.tobytes() if len(raw) else b""
         parts += [raw.dtype.str.encode().ljust(4), len(raw).to_bytes(8, "little"), shuffled]
-    return zstandard.compress(b"".join(parts), 1)
+    return zstandard.compress(b"".join(parts), ZSTD)
 
 
 def _unpack(value: bytes) -> list[np.ndarray]:
@@ -127,12 +128,13 @@ class Words:
 
 @dataclass(frozen=True)
 class Level:
-    """What all must know of the n-grams of one length: where each bucket's numbers begin, their discounts, and the sums of
-    contexts that are dealt over several buckets."""
+    """What all must know of the n-grams of one length: where each bucket's numbers begin, their discounts and those of the
+    n-grams shorter by one, and the sums of contexts that are dealt over several buckets."""
 
     n: int
     offsets: np.ndarray
     discounts: Discounts
+    shorter: Discounts
     hot: np.ndarray
     hot_sums: np.ndarray
 
@@ -155,7 +157,7 @@ def encode(docs: DataFrame, chunk: int) -> DataFrame:
 
         def flush() -> pd.DataFrame:
             nonlocal base, number, flat, ids, sizes, held
-            row = pd.DataFrame({"chunk": [base], "doc_ids": [ids], "sizes": [sizes], "held": [held], "vocab": [zstandard.compress(b" ".join(number), 1)], "x": [_pack(np.array(flat, np.uint32))]})
+            row = pd.DataFrame({"chunk": [base], "doc_ids": [ids], "sizes": [sizes], "held": [held], "vocab": [zstandard.compress(b" ".join(number), ZSTD)], "x": [_pack(np.array(flat, np.uint32))]})
             base, number, flat, ids, sizes, held = base + 1, {b"": 0}, [], [], [], []
             return row
 
@@ -196,7 +198,7 @@ class Chunk:
         counts = np.bincount(self.flat[self.train], minlength=len(self.vocab))
         for k in np.flatnonzero(np.diff(self.cuts)).tolist():
             these = self.order[self.cuts[k] : self.cuts[k + 1]]
-            yield k, zstandard.compress(b" ".join([self.vocab[i] for i in these.tolist()]), 1), counts[these]
+            yield k, zstandard.compress(b" ".join([self.vocab[i] for i in these.tolist()]), ZSTD), counts[these]
 
     def learn_words(self, answers: pd.DataFrame, offsets: np.ndarray, words: Words, begins: int) -> None:
         """Takes the buckets' answers: numbers and training counts of the words. From here on, ``gram`` has the n-gram that
@@ -227,24 +229,25 @@ class Chunk:
             context[np.arange(len(context)) - np.repeat(starts, self.sizes) < n - 2] = -1
         at = np.flatnonzero(context >= 0)
         at = at[self.count[context[at]] > 0]
-        code, first, place = np.unique(context[at] * len(self.vocab) + self.flat[at], return_index=True, return_inverse=True)
-        u, v = np.divmod(code, len(self.vocab))
+        # By context and word in the order of their numbers, then by bucket.
+        by_number, by_word = np.argsort(self.number), np.argsort(self.words)
+        code, place = np.unique(_places(by_number)[context[at]] * len(by_word) + _places(by_word)[self.flat[at]], return_inverse=True)
+        left, right = np.divmod(code, len(by_word))
+        u, gv = by_number[left], self.words[by_word[right]]
         # A context takes as many buckets as it has shares of the tokens; numbers are mixed so that neighbours part.
         spread = 1 + self.count[u] * self.buckets // max(1, tokens)
-        mixed = lambda x: (x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-        gu, gv = self.number[u], self.words[v]
-        where = (mixed(gu) + mixed(gv) % spread) % self.buckets
-        order = np.lexsort((gv, gu, where))
-        self.at, self.context = at, context[at]
-        self.u, self.v, self.local_u, self.spread = gu[order], gv[order], u[order], spread[order]
-        self.seen = np.bincount(place, self.train[at], len(code)).astype(np.int64)[order]
-        shorter = at[first[order]]
+        where = _narrow((_mixed(self.number[u]) + _mixed(gv) % spread) % self.buckets)
+        order = np.argsort(where, kind="stable")
+        place = _places(order)[place]
+        self.at, self.context, self.local_u = at, context[at], u[order]
+        self.u, self.v, self.spread = self.number[self.local_u], gv[order], spread[order]
+        self.seen = np.bincount(place, self.train[at], len(code)).astype(np.int64)
+        shorter = np.empty(len(code), np.int64)
+        shorter[place] = at
         self.shorter_count, self.shorter_whole = self.count[self.gram[shorter]], self.whole[shorter]
         self.gram_cuts = np.searchsorted(where[order], np.arange(self.buckets + 1))
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
         self.next_gram = np.full(len(self.flat), -1, np.int64)
-        self.next_gram[at] = back[place]
+        self.next_gram[at] = place
 
     def asked(self) -> Iterator[tuple[int, bytes]]:
         """(bucket, n-grams in runs of one context, with training counts and what their context's mass is made of)."""
@@ -262,12 +265,18 @@ class Chunk:
         total, number = np.zeros(len(self.u), np.int64), np.full(len(self.u), UNKNOWN, np.int64)
         left, mass = np.zeros(len(self.count)), np.zeros(len(self.count))
         lost = np.array([level.discounts.lost(r) for r in range(1, K + 1)])
+        lost_by = np.concatenate(([0.0], lost, [0.0]))
         for k, value in zip(answers["bucket"].astype(int), answers["x"]):
             part = slice(self.gram_cuts[k], self.gram_cuts[k + 1])
-            total[part], steps, *stats = _unpack(value)
+            total[part], steps, partial, *stats = _unpack(value)
             if len(steps):  # not for the longest n-grams, which are no contexts
                 number[part] = np.where(total[part] > 0, np.cumsum(steps.astype(np.int64)) + level.offsets[k], UNKNOWN)
-            to = self.local_u[part][_first(self.u[part])]
+            runs, times = _first(self.u[part]), self.shorter_count[part]
+            to = self.local_u[part][runs]
+            left[to] = np.add.reduceat(lost_by[np.minimum(total[part], K + 1)], runs)
+            mass[to] = np.add.reduceat(np.where(total[part] > 0, level.shorter(times) * times / self.shorter_whole[part], 0.0), runs)
+            # Contexts that other chunks saw other words after.
+            to = to[partial > 0]
             left[to], mass[to] = np.stack(stats[:K], axis=1) @ lost, stats[K]
         if len(level.hot):
             place = np.minimum(np.searchsorted(level.hot, self.number), len(level.hot) - 1)
@@ -291,6 +300,17 @@ def _narrow(values: np.ndarray) -> np.ndarray:
     return values.astype(np.result_type(*kinds))
 
 
+def _mixed(values: np.ndarray) -> np.ndarray:
+    return (values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+
+
+def _places(order: np.ndarray) -> np.ndarray:
+    """The inverse of a permutation."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.arange(len(order))
+    return out
+
+
 def _first(values: np.ndarray) -> np.ndarray:
     """Places where a run of equal values begins."""
     return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
@@ -329,22 +349,26 @@ def _count_grams(kind: str, shorter: Discounts, numbered: bool):
         v, given, shorter_count = (np.concatenate([p[i] for p in parts]) for i in (2, 3, 4))
         shorter_whole, hot = (np.concatenate([p[i] for p in parts]) for i in (5, 6))
         u = np.repeat(run, np.concatenate(lengths))
-        key, first, place = np.unique(u.astype(np.uint64) << np.uint64(32) | v.astype(np.uint64), return_index=True, return_inverse=True)
+        key, place = np.unique(u.astype(np.uint64) << np.uint64(32) | v.astype(np.uint64), return_inverse=True)
         total = np.bincount(place, given, len(key)).astype(np.int64)
         seen = total > 0
-        runs = _first(u[first])
+        context = (key >> np.uint64(32)).astype(np.int64)
+        runs = _first(context)
         rare = np.stack([np.add.reduceat((total == r).astype(np.int64), runs) for r in range(1, K + 1)], axis=1)
-        of = np.empty(len(contexts), np.int64)
-        of[run] = shorter_whole
-        times = shorter_count[first].astype(np.int64)
-        mass = np.add.reduceat(np.where(seen, shorter(times) * times / of[u[first]], 0.0), runs)
+        whole, times = np.empty(len(contexts), np.int64), np.empty(len(key), np.int64)
+        whole[run], times[place] = shorter_whole, shorter_count
+        mass = np.add.reduceat(np.where(seen, shorter(times) * times / whole[context], 0.0), runs)
+        followers = np.add.reduceat(seen.astype(np.int64), runs)
         local = np.cumsum(seen) - 1
         out, at, run_at = [], 0, 0
-        for c, p in zip(rows["chunk"], parts):
-            mine, asked = run[run_at : run_at + len(p[0])], place[at : at + len(p[2])]
+        for c, p, n in zip(rows["chunk"], parts, lengths):
+            mine, asked = run[run_at : run_at + len(n)], place[at : at + len(p[2])]
             steps = np.diff(local[asked], prepend=0) if numbered else np.zeros(0, np.int64)
-            out.append((int(c), bucket, kind, _pack(*map(_narrow, (total[asked], steps, *rare[mine].T)), mass[mine])))
-            at, run_at = at + len(p[2]), run_at + len(p[0])
+            # A chunk that asks for all that followed a context adds its sums up itself.
+            partial = np.add.reduceat(seen[asked].astype(np.int64), np.cumsum(n) - n) < followers[mine]
+            mine = mine[partial]
+            out.append((int(c), bucket, kind, _pack(*map(_narrow, (total[asked], steps, partial.astype(np.int8), *rare[mine].T)), mass[mine])))
+            at, run_at = at + len(asked), run_at + len(n)
         several = np.unique(run[hot > 0])
         out.append((_STATS, bucket, kind, _pack(np.array([seen.sum()]), _hist(total), contexts[several], *rare[several].T, mass[several])))
         return pd.DataFrame(out, columns=["chunk", "bucket", "kind", "x"])
@@ -414,7 +438,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out:
     tables, levels = [word_table], []
     for n in range(2, order + 1):
         grams = mixed(tables).groupBy("chunk").applyInPandas(asking(n, list(levels)), "chunk long, bucket int, x binary")
-        count = _count_grams(f"{n}-grams", levels[-1].discounts if levels else words.discounts, n < order)
+        shorter = levels[-1].discounts if levels else words.discounts
+        count = _count_grams(f"{n}-grams", shorter, n < order)
         table = materialise(grams.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(count, _ANSWER), f"katz_{n}_grams", ("bucket",))
         sizes, gram_hist = np.zeros(buckets, np.int64), np.zeros(K + 2, np.int64)
         hot: dict[int, np.ndarray] = {}
@@ -425,7 +450,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out:
                 hot[u] = hot.get(u, 0) + sums
         numbers = np.array(sorted(hot), np.int64)
         hot_sums = np.array([hot[u] for u in numbers.tolist()]).reshape(-1, K + 1)
-        levels.append(Level(n, np.concatenate(([0], np.cumsum(sizes)[:-1])), Discounts.of(gram_hist), numbers, hot_sums))
+        levels.append(Level(n, np.concatenate(([0], np.cumsum(sizes)[:-1])), Discounts.of(gram_hist), shorter, numbers, hot_sums))
         tables.append(table)
 
     def evaluate(rows: pd.DataFrame) -> pd.DataFrame:
