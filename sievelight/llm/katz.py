@@ -16,7 +16,8 @@ How it runs: documents are encoded in chunks of about ``CHUNK`` tokens (word num
 are written once. A chunk sends its distinct words as packed arrays to hash buckets; each bucket adds the counts up, numbers
 the words, writes them as a table partitioned by bucket, and answers with the totals of what it was asked. Then the same for
 pairs, triples and so on: an n-gram is the number of the shorter one that is its context and a word's number. So an n-gram is
-shuffled once per chunk that has it, however frequent it is. N-grams are dealt by their context, so that a bucket knows all
+shuffled once per chunk that has it, however frequent it is. What only one chunk asked for is its own: it counts what
+followed, without asking, and sends the counts of counts alone. N-grams are dealt by their context, so that a bucket knows all
 that followed it; a context with more than a bucket's share is dealt over several, and their few sums are added on the
 driver. Buckets and chunks are bounded; their numbers grow with the corpus.
 
@@ -202,16 +203,16 @@ class Chunk:
 
     def learn_words(self, answers: pd.DataFrame, offsets: np.ndarray, words: Words, begins: int) -> None:
         """Takes the buckets' answers: numbers and training counts of the words. From here on, ``gram`` has the n-gram that
-        ends at each token (-1: none that was asked for), and ``number`` and ``count`` are by n-gram; ``p`` is what the
+        ends at each token (-1: none that is needed), and ``number``, ``count`` and ``own`` (no other chunk has it) are by n-gram; ``p`` is what the
         model so far gives each token, and ``whole`` what the count of a token's n-gram is a part of."""
         size = len(self.vocab)
         self.number = np.full(size + 1, UNKNOWN, np.int64)
-        self.count = np.zeros(size + 1, np.int64)
+        self.count, self.own = np.zeros(size + 1, np.int64), np.zeros(size + 1, bool)
         for k, value in zip(answers["bucket"].astype(int), answers["x"]):
-            local, counts = _unpack(value)
+            local, counts, own = _unpack(value)
             these = self.order[self.cuts[k] : self.cuts[k + 1]]
             self.number[these] = np.where(counts > 0, local + offsets[k], UNKNOWN)
-            self.count[these] = counts
+            self.count[these], self.own[these] = counts, own > 0
         self.number[-1], self.count[-1] = BEGIN, begins
         self.words, self.word_count = self.number, self.count
         self.gram = self.flat
@@ -236,7 +237,8 @@ class Chunk:
         u, gv = by_number[left], self.words[by_word[right]]
         # A context takes as many buckets as it has shares of the tokens; numbers are mixed so that neighbours part.
         spread = 1 + self.count[u] * self.buckets // max(1, tokens)
-        where = _narrow((_mixed(self.number[u]) + _mixed(gv) % spread) % self.buckets)
+        where = (_mixed(self.number[u]) + _mixed(gv) % spread) % self.buckets
+        where = _narrow(np.where(self.own[u], self.buckets, where))  # what follows its own stays here, behind all buckets
         order = np.argsort(where, kind="stable")
         place = _places(order)[place]
         self.at, self.context, self.local_u = at, context[at], u[order]
@@ -250,33 +252,46 @@ class Chunk:
         self.next_gram[at] = place
 
     def asked(self) -> Iterator[tuple[int, bytes]]:
-        """(bucket, n-grams in runs of one context, with training counts and what their context's mass is made of)."""
-        for k in np.flatnonzero(np.diff(self.gram_cuts)).tolist():
+        """(bucket, n-grams in runs of one context, with training counts and what their context's mass is made of). The first
+        message has the counts of counts of what is not asked for."""
+        hist = _hist(self.seen[self.gram_cuts[-1] :])
+        for k in np.flatnonzero(np.diff(self.gram_cuts)).tolist() or [0]:
             part = slice(self.gram_cuts[k], self.gram_cuts[k + 1])
             u = self.u[part]
             runs = _first(u)
             lengths = np.diff(np.append(runs, len(u)))
             steps = np.diff(u[runs], prepend=0)
             hot = (self.spread[part][runs] > 1).astype(np.int8)
-            yield k, _pack(*map(_narrow, (steps, lengths)), self.v[part].astype(np.uint32), *map(_narrow, (self.seen[part], self.shorter_count[part], self.shorter_whole[part][runs])), hot)
+            yield k, _pack(*map(_narrow, (steps, lengths)), self.v[part].astype(np.uint32), *map(_narrow, (self.seen[part], self.shorter_count[part], self.shorter_whole[part][runs])), hot, hist)
+            hist = np.zeros_like(hist)
 
     def learn(self, level: Level, answers: pd.DataFrame) -> None:
         """Takes the buckets' answers on what ``ask`` asked for."""
         total, number = np.zeros(len(self.u), np.int64), np.full(len(self.u), UNKNOWN, np.int64)
+        own = np.zeros(len(self.u), bool)
         left, mass = np.zeros(len(self.count)), np.zeros(len(self.count))
         lost = np.array([level.discounts.lost(r) for r in range(1, K + 1)])
         lost_by = np.concatenate(([0.0], lost, [0.0]))
-        for k, value in zip(answers["bucket"].astype(int), answers["x"]):
-            part = slice(self.gram_cuts[k], self.gram_cuts[k + 1])
-            total[part], steps, partial, *stats = _unpack(value)
-            if len(steps):  # not for the longest n-grams, which are no contexts
-                number[part] = np.where(total[part] > 0, np.cumsum(steps.astype(np.int64)) + level.offsets[k], UNKNOWN)
-            runs, times = _first(self.u[part]), self.shorter_count[part]
+
+        def add_up(part: slice) -> np.ndarray:
+            """Sums of each context in ``part`` over what this chunk knows; returns the contexts."""
+            runs, times = _first(self.local_u[part]), self.shorter_count[part]
             to = self.local_u[part][runs]
             left[to] = np.add.reduceat(lost_by[np.minimum(total[part], K + 1)], runs)
             mass[to] = np.add.reduceat(np.where(total[part] > 0, level.shorter(times) * times / self.shorter_whole[part], 0.0), runs)
+            return to
+
+        here = slice(self.gram_cuts[-1], len(self.u))
+        total[here], own[here] = self.seen[here], True
+        add_up(here)
+        for k, value in zip(answers["bucket"].astype(int), answers["x"]):
+            part = slice(self.gram_cuts[k], self.gram_cuts[k + 1])
+            total[part], steps, alone, partial, *stats = _unpack(value)
+            if len(alone):  # not for the longest n-grams, which are no contexts
+                own[part] = alone > 0
+                number[part.start + np.flatnonzero((total[part] > 0) & ~own[part])] = np.cumsum(steps.astype(np.int64)) + level.offsets[k]
             # Contexts that other chunks saw other words after.
-            to = to[partial > 0]
+            to = add_up(part)[partial > 0]
             left[to], mass[to] = np.stack(stats[:K], axis=1) @ lost, stats[K]
         if len(level.hot):
             place = np.minimum(np.searchsorted(level.hot, self.number), len(level.hot) - 1)
@@ -291,7 +306,7 @@ class Chunk:
         self.whole = np.zeros(len(self.flat), np.int64)
         self.whole[self.at] = whole[self.context]
         self.p[self.at] = np.where(r > 0, level.discounts(r) * r / self.whole[self.at], alpha[self.context] * self.p[self.at])
-        self.number, self.count = number, total
+        self.number, self.count, self.own = number, total, own
 
 
 def _narrow(values: np.ndarray) -> np.ndarray:
@@ -331,14 +346,15 @@ def _count_words(rows: pd.DataFrame) -> pd.DataFrame:
     total = np.bincount(np.concatenate(asked), np.concatenate(given), len(number)).astype(np.int64)
     seen = total > 0
     local = np.cumsum(seen) - 1  # numbers for known words only
-    out = [(int(c), bucket, "word", _pack(*map(_narrow, (local[a], total[a])))) for c, a in zip(rows["chunk"], asked)]
+    own = (np.bincount(np.concatenate(asked), minlength=len(number)) == 1).astype(np.int8)
+    out = [(int(c), bucket, "word", _pack(*map(_narrow, (local[a], total[a])), own[a])) for c, a in zip(rows["chunk"], asked)]
     out.append((_STATS, bucket, "word", _pack(np.array([seen.sum(), total.sum()]), _hist(total))))
     return pd.DataFrame(out, columns=["chunk", "bucket", "kind", "x"])
 
 
 def _count_grams(kind: str, shorter: Discounts, numbered: bool):
     """Adds up one bucket's n-grams and, for each context, what its discounts leave and what its followers have as shorter
-    n-grams. ``numbered``: the n-grams seen in training are numbered, as contexts of longer ones."""
+    n-grams. ``numbered``: those that several chunks have are numbered, as contexts of longer ones."""
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
         bucket = int(rows["bucket"].iloc[0])
@@ -359,18 +375,20 @@ def _count_grams(kind: str, shorter: Discounts, numbered: bool):
         whole[run], times[place] = shorter_whole, shorter_count
         mass = np.add.reduceat(np.where(seen, shorter(times) * times / whole[context], 0.0), runs)
         followers = np.add.reduceat(seen.astype(np.int64), runs)
-        local = np.cumsum(seen) - 1
+        own = np.bincount(place, minlength=len(key)) == 1
+        shared = seen & ~own
+        local = np.cumsum(shared) - 1
         out, at, run_at = [], 0, 0
         for c, p, n in zip(rows["chunk"], parts, lengths):
             mine, asked = run[run_at : run_at + len(n)], place[at : at + len(p[2])]
-            steps = np.diff(local[asked], prepend=0) if numbered else np.zeros(0, np.int64)
+            steps, alone = (np.diff(local[asked[shared[asked]]], prepend=0), own[asked]) if numbered else (local[:0], own[:0])
             # A chunk that asks for all that followed a context adds its sums up itself.
             partial = np.add.reduceat(seen[asked].astype(np.int64), np.cumsum(n) - n) < followers[mine]
             mine = mine[partial]
-            out.append((int(c), bucket, kind, _pack(*map(_narrow, (total[asked], steps, partial.astype(np.int8), *rare[mine].T)), mass[mine])))
+            out.append((int(c), bucket, kind, _pack(*map(_narrow, (total[asked], steps, alone.astype(np.int8), partial.astype(np.int8), *rare[mine].T)), mass[mine])))
             at, run_at = at + len(asked), run_at + len(n)
         several = np.unique(run[hot > 0])
-        out.append((_STATS, bucket, kind, _pack(np.array([seen.sum()]), _hist(total), contexts[several], *rare[several].T, mass[several])))
+        out.append((_STATS, bucket, kind, _pack(np.array([shared.sum()]), _hist(total) + sum(p[7] for p in parts), contexts[several], *rare[several].T, mass[several])))
         return pd.DataFrame(out, columns=["chunk", "bucket", "kind", "x"])
 
     return count
