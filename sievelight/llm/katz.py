@@ -28,6 +28,7 @@ tokens are unknown, with probability one. An empty table gives an empty result;
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,7 +37,7 @@ import numpy as np
 import pandas as pd
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.llm.texts import byte_words, column_type
@@ -394,6 +395,12 @@ def _count_grams(kind: str, shorter: Discounts, numbered: bool):
     return count
 
 
+def _release(spark: SparkSession) -> None:
+    """Lets go of spent shuffles: their files stay until the driver collects the garbage of the plans that made them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out: str = "held_out", order: int = ORDER, chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
     """Trains n-grams of up to ``order`` tokens on the rows that are not ``held_out`` (a boolean column) and scores all rows.
 
@@ -418,6 +425,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out:
 
     asked = chunks.mapInPandas(ask_words, "chunk long, bucket int, words binary, x binary")
     word_table = materialise(asked.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_count_words, _ANSWER), "katz_words", ("bucket",))
+    del asked
+    _release(spark)
     offsets, tokens, hist = np.zeros(buckets, np.int64), 0, np.zeros(K + 2, np.int64)
     for r in word_table.where(F.col("chunk") == _STATS).select("bucket", "x").collect():  # a short row a bucket
         (offsets[r["bucket"]], n), h = _unpack(bytes(r["x"]))
@@ -459,6 +468,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out:
         shorter = levels[-1].discounts if levels else words.discounts
         count = _count_grams(f"{n}-grams", shorter, n < order)
         table = materialise(grams.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(count, _ANSWER), f"katz_{n}_grams", ("bucket",))
+        del grams
+        _release(spark)
         sizes, gram_hist = np.zeros(buckets, np.int64), np.zeros(K + 2, np.int64)
         hot: dict[int, np.ndarray] = {}
         for r in table.where(F.col("chunk") == _STATS).select("bucket", "x").collect():  # contexts in several buckets: two a bucket on average
