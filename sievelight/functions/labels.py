@@ -110,4 +110,6 @@ def softmax(logits: Column) -> Column:
 
 
 def age_days(now: Column, registered: Column) -> Column:
-    return F.floor((F.unix_timestamp(now) - F.unix_timestamp(registered)) / 86400).cast("int")
+    """Whole days between two timestamps, rounded down; fractions of a second count."""
+    elapsed, day = F.unix_micros(now) - F.unix_micros(registered), F.lit(86_400_000_000)
+    return F.call_function("div", elapsed - F.pmod(elapsed, day), day).cast("int")
