@@ -50,9 +50,9 @@ def histogram(events: DataFrame, seconds: Column, by: list[str] | None = None) -
 
 
 def fresh(cache: DataFrame, now: Column, success_hours: int = 24, failure_minutes: int = 10) -> DataFrame:
-    """Cache rows (checked, checked_at) that need no new lookup."""
-    ttl = F.when(F.col("checked"), F.lit(success_hours * 3600)).otherwise(F.lit(failure_minutes * 60))
-    return cache.where(F.unix_timestamp(now) < F.unix_timestamp("checked_at") + ttl)
+    """Cache rows (checked, checked_at) that need no new lookup; fractions of a second count."""
+    ttl = F.when(F.col("checked"), F.lit(success_hours * 3_600_000_000)).otherwise(F.lit(failure_minutes * 60_000_000))
+    return cache.where(F.unix_micros(now) < F.unix_micros("checked_at") + ttl)
 
 
 def first_of_message(events: DataFrame, key: str) -> DataFrame:
