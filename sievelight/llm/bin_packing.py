@@ -14,6 +14,8 @@ rest; a better packing becomes the incumbent at once. So does the end of each wa
 A filling that recurs is first used as often as the counts allow (so that large histograms are packed in a few levels), then
 less often, down to once: branches over multiplicities are part of the search.
 
+Memory: the counts that are left are held once, whatever the depth of the search, and each step holds its pattern alone.
+
 The exact way: without ``seconds`` the search ends at the lower bound or when it is exhausted, so its result is optimal. Bin
 packing is NP-hard, so ``seconds`` bounds the time instead; what is returned then is the best packing found, always a
 complete one, and ``Result.proven`` says whether it is known to be optimal.
@@ -22,16 +24,21 @@ complete one, and ``Result.proven`` says whether it is known to be optimal.
 from __future__ import annotations
 
 import time
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from hashlib import blake2b
+from itertools import islice
 from typing import NamedTuple
 
 Pattern = tuple[tuple[int, int], ...]
 Packing = list[tuple[int, Pattern]]
 
 
-#: Histograms with more lengths than this are looked at whole only every so many levels.
-FEW = 100
+#: Histograms with more lengths than FEW are looked at whole only every SELDOM levels.
+FEW, SELDOM = 100, 1000
+#: How many rests are remembered, and how many steps keep the state of their enumeration. Both bound the driver's memory only:
+#: a rest that is not remembered is searched again, an enumeration that was given up is begun again.
+REMEMBERED, OPEN = 200_000, 200
 
 
 class Path(NamedTuple):
@@ -125,44 +132,59 @@ class OutOfTime(Exception):
     """The search has used its seconds."""
 
 
-def fillings(counts: dict[int, int], space: int, most_waste: int, until: float | None = None) -> Iterator[tuple[int, Pattern]]:
-    """All undominated fillings of ``space`` that waste ``most_waste`` at most, least waste first, as (waste, pattern)."""
-    lengths = sorted((n for n in counts if 0 < n <= space and counts[n]), reverse=True)
-    # volume[i]: of all items from place i on; a filling that cannot reach its fill with them is not begun.
-    volume = [0] * (len(lengths) + 1)
-    for i in range(len(lengths) - 1, -1, -1):
-        volume[i] = volume[i + 1] + lengths[i] * counts[lengths[i]]
-    dead: set[tuple[int, int]] = set()  # (place, space) that no items from there fill exactly
-
-    def exactly(i: int, left: int, picked: list[tuple[int, int]]) -> Iterator[Pattern]:
-        """Fillings of ``left`` by lengths from place i on; the depth is that of the lengths picked."""
+def fillings(counts: dict[int, int], order: list[int], first: int, space: int, most_waste: int, until: float | None = None) -> Iterator[tuple[int, Pattern]]:
+    """All undominated fillings of ``space`` beside one item ``first`` that waste ``most_waste`` at most, least waste first, as
+    (waste, pattern). ``order`` has the lengths in ``counts``, ascending. Both are read as they are, not copied: they may change
+    in between, but must be as before whenever the next filling is asked for."""
+    # volume[i]: of all items below place i, as far as it matters; a filling that cannot reach its fill with them is not begun.
+    volume = [0]
+    for n in order:
+        if volume[-1] >= space:
+            break
+        volume.append(volume[-1] + n * (counts[n] - (n == first)))
+    dead: set[tuple[int, int]] = set()  # (place, space) that no items below fill exactly
+
+    def exactly(top: int, left: int, picked: tuple[tuple[int, int], ...]) -> Iterator[Pattern]:
+        """Fillings of ``left`` by lengths below place ``top``; the depth is that of the lengths picked."""
         if not left:
-            yield tuple(picked)
+            yield picked
             return
         if until is not None and time.monotonic() > until:
             raise OutOfTime
-        begun, any_found = i, False
-        while i < len(lengths) and volume[i] >= left and (i, left) not in dead:
-            n = lengths[i]
-            for k in range(min(counts[n], left // n), 0, -1):
-                for found in exactly(i + 1, left - k * n, [*picked, (n, k)]):
+        begun = top = bisect_right(order, left, 0, top)
+        any_found = False
+        while top and (top >= len(volume) or volume[top] >= left) and (top, left) not in dead:
+            n = order[top - 1]
+            for k in range(min(counts[n] - (n == first), left // n), 0, -1):
+                for found in exactly(top - 1, left - k * n, (*picked, (n, k))):
                     any_found = True
                     yield found
-            i += 1
+            top -= 1
         if not any_found:
             dead.add((begun, left))
 
     def dominated(pattern: Pattern, waste: int) -> bool:
         """Whether an item that is left could take the place of a shorter one, or of nothing, and fill more."""
         used = dict(pattern)
-        return any(used.get(n, 0) < counts[n] and (n <= waste or any(m < n <= m + waste for m in used)) for n in lengths)
+        return any(used.get(n, 0) < counts[n] - (n == first) and (n <= waste or any(m < n <= m + waste for m in used)) for n in order[: bisect_right(order, space)])
 
     for waste in range(min(most_waste, space) + 1):
-        for pattern in exactly(0, space - waste, []):
+        for pattern in exactly(len(order), space - waste, ()):
             if not waste or not dominated(pattern, waste):
                 yield waste, pattern
 
 
+class Step:
+    """A step of the way down: what it used, what had been used before it, and the branches from there."""
+
+    __slots__ = ("bins", "branches", "done", "pattern", "times", "tried", "waste")
+
+    def __init__(self, pattern: Pattern, times: int, bins: int, waste: int, done: Path | None):
+        self.pattern, self.times, self.bins, self.waste, self.done = pattern, times, bins, waste, done
+        self.branches: Iterator[tuple[int, Pattern, int]] | None = None
+        self.tried = 0
+
+
 def solve(counts: dict[int, int], capacity: int, seconds: float | None = None) -> Result:
     """The best packing of ``counts`` (length -> items) found within ``seconds``; without these, an optimal one."""
     counts = {n: c for n, c in counts.items() if c}
@@ -175,57 +197,77 @@ def solve(counts: dict[int, int], capacity: int, seconds: float | None = None) -
         return Result(incumbent, best, bound, True)
     until = None if seconds is None else time.monotonic() + seconds
     volume = sum(n * c for n, c in counts.items())
-    seen: dict[tuple, int] = {}  # what is left -> fewest bins with which it was reached
+    seen: dict[bytes, int] = {}  # digest of what is left -> fewest bins with which it was reached
+    # What is left is held once, changed on the way down and restored on the way back: memory is that of the steps alone.
+    left, order = dict(counts), sorted(counts)
+
+    def use(pattern: Pattern, times: int) -> None:
+        for m, k in pattern:
+            left[m] -= times * k
+            if not left[m]:
+                del left[m], order[bisect_left(order, m)]
 
-    def children(left: dict[int, int], waste: int) -> Iterator[tuple[int, Pattern, int]]:
+    def give_back(pattern: Pattern, times: int) -> None:
+        for m, k in pattern:
+            if m not in left:
+                left[m] = 0
+                insort(order, m)
+            left[m] += times * k
+
+    def children(waste: int) -> Iterator[tuple[int, Pattern, int]]:
         """(times, pattern, waste of one bin) around the largest item that is left."""
-        n = max(left)
-        for w, pattern in fillings(left | {n: left[n] - 1}, capacity - n, (best - 1) * capacity - volume - waste, until):
-            used = {n: 1}
-            for m, k in pattern:
-                used[m] = used.get(m, 0) + k
-            for times in range(min(left[m] // k for m, k in used.items()), 0, -1):
-                yield times, tuple(sorted(used.items(), reverse=True)), w
-
-    # A stack of (what is left, its bins, its waste, its packing, branches not tried yet): no recursion however deep.
-    stack = [(counts, 0, 0, None, children(counts, 0))]
+        n = order[-1]
+        for w, pattern in fillings(left, order, n, capacity - n, (best - 1) * capacity - volume - waste, until):
+            if pattern and pattern[0][0] == n:
+                used = ((n, pattern[0][1] + 1), *pattern[1:])
+            else:
+                used = ((n, 1), *pattern)
+            for times in range(min(left[m] // k for m, k in used), 0, -1):
+                yield times, used, w
+
+    # A stack of steps: no recursion however deep.
+    stack = [Step((), 0, 0, 0, None)]
     while stack and best > bound:
-        left, bins, waste, done, branches = stack[-1]
+        at = stack[-1]
         try:
             if until is not None and time.monotonic() > until:
                 raise OutOfTime
-            step = next(branches, None)
+            if at.branches is None:  # begun, or given up for its memory and begun again where it stood
+                at.branches = islice(children(at.waste), at.tried, None)
+            branch = next(at.branches, None)
         except OutOfTime:
             return Result(incumbent, best, bound, False)
-        if step is None:
+        if branch is None:
+            give_back(at.pattern, at.times)
             stack.pop()
             continue
-        times, pattern, w = step
-        now_bins, now_waste = bins + times, waste + times * w
-        if now_waste > (best - 1) * capacity - volume or now_bins >= best:
+        at.tried += 1
+        times, pattern, w = branch
+        now = Step(pattern, times, at.bins + times, at.waste + times * w, Path(at.done, (times, pattern)))
+        if now.waste > (best - 1) * capacity - volume or now.bins >= best:
             continue
-        rest = dict(left)
-        for m, k in pattern:
-            rest[m] -= times * k
-            if not rest[m]:
-                del rest[m]
-        now_done = Path(done, (times, pattern))
-        if not rest:
-            incumbent, best = now_done.all(), now_bins
+        use(pattern, times)
+        if not left:
+            incumbent, best = now.done.all(), now.bins
+            give_back(pattern, times)
             continue
         # Bounds, memory and closings cost a look at all lengths: on the way down a long histogram only now and then.
-        if len(rest) <= FEW or len(stack) % FEW == 0:
-            if now_bins + lower_bound(rest, capacity) >= best:
-                continue
-            key = tuple(sorted(rest.items()))
-            if seen.get(key, now_bins + 1) <= now_bins:
+        if len(order) <= FEW or len(stack) % SELDOM == 0:
+            hopeless = now.bins + lower_bound(left, capacity) >= best
+            if not hopeless:
+                key = blake2b(repr([(n, left[n]) for n in order]).encode(), digest_size=16).digest()
+                hopeless = seen.get(key, now.bins + 1) <= now.bins
+            if hopeless:
+                give_back(pattern, times)
                 continue
-            if len(seen) < 1_000_000:  # what is not remembered is searched again
-                seen[key] = now_bins
-            closed = best_fit_decreasing(rest, capacity)
-            if now_bins + sum(b for b, _ in closed) < best:
-                incumbent, best = now_done.all() + closed, now_bins + sum(b for b, _ in closed)
-        stack.append((rest, now_bins, now_waste, now_done, children(rest, now_waste)))
+            if len(seen) < REMEMBERED or key in seen:  # what is not remembered is searched again
+                seen[key] = now.bins
+            closed = best_fit_decreasing(left, capacity)
+            if now.bins + sum(b for b, _ in closed) < best:
+                incumbent, best = now.done.all() + closed, now.bins + sum(b for b, _ in closed)
+        stack.append(now)
+        if len(stack) > OPEN:
+            stack[-OPEN - 1].branches = None
     return Result(incumbent, best, bound, True)
 
 

@@ -5,6 +5,7 @@ import functools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -154,6 +155,32 @@ def test_packing_search_can_be_stopped():
     assert bin_packing.solve({n: 3 for n in range(1, 4097)}, 4096, 5.0).bins >= bin_packing.lower_bound({n: 3 for n in range(1, 4097)}, 4096)
 
 
+def test_packing_search_holds_what_is_left_once():
+    """Copies of the histogram at each step of the way down took a gigabyte of the driver."""
+    counts = {n: 3 for n in range(700, 3000)}
+    tracemalloc.start()
+    try:
+        found = bin_packing.solve(counts, 4096, 6.0)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    check_packing(counts, 4096, found.packing)
+    assert peak < 40e6
+
+
+def test_packing_search_begins_again_where_it_gave_up(monkeypatch):
+    """Exact although no enumeration is kept and no rest remembered."""
+    monkeypatch.setattr(bin_packing, "OPEN", 1)
+    monkeypatch.setattr(bin_packing, "REMEMBERED", 0)
+    generator = np.random.default_rng(11)
+    for _ in range(60):
+        items = generator.integers(2, 13, int(generator.integers(1, 9))).tolist()
+        counts = {n: items.count(n) for n in items}
+        packed = bin_packing.pack(counts, 20)
+        check_packing(counts, 20, packed)
+        assert sum(b for b, _ in packed) == optimal(items, 20)
+
+
 def test_sequences_pass_all_columns_on(spark):
     rows = spark.createDataFrame([(1, 2, 3, 4, 5, 6)] * 3, "length long, rank int, _row int, _at int, _salts int, offset int")
     out = packing.sequences(rows, 10).collect()
