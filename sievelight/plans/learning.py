@@ -1,28 +1,107 @@
-"""The linear text model: n-gram TF-IDF, multinomial logistic regression, label cleaning, calibration."""
+"""The linear text model: n-gram TF-IDF, multinomial logistic regression, label cleaning, calibration.
+
+Texts are read a fixed number of times: once a vocabulary and once for the counts, which are materialised; the estimators
+behind them read the counts alone. Character n-grams, of which a text has as many as characters, are counted as integers.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, NGram, Normalizer, RegexTokenizer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.functions import labels
 from sievelight.functions.text import let
+from sievelight.storage import materialise
+
+#: Characters in a character n-gram, and characters that are counted at once.
+SIZE, AT_ONCE = 3, 1 << 21
+
+
+def with_char_grams(rows: DataFrame, column: str = "text", size: int = SIZE) -> DataFrame:
+
+    def grams(chars: Column) -> Column:
+        n = F.size(chars) - size + 1
+        return F.when(n >= 1, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(*(F.get(chars, i + k) for k in range(size))))).otherwise(F.array().cast("array<string>"))
+
+    return rows.withColumn("char_grams", let(F.regexp_extract_all(F.lower(F.coalesce(F.col(column), F.lit(""))), F.lit("(?s)."), F.lit(0)), grams))
+
+
+def _codes(text: str) -> np.ndarray:
+    """The text's character n-grams as numbers, 21 bits a character."""
+    points = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+    codes = points[: max(0, len(points) - SIZE + 1)].copy()
+    for k in range(1, SIZE):
+        codes = codes << 21 | points[k : len(codes) + k]
+    return codes
+
+
+def _gram(code: int) -> str:
+    return "".join(chr(code >> 21 * k & 0x1FFFFF) for k in range(SIZE - 1, -1, -1))
+
+
+def _most_frequent(counted: DataFrame, size: int) -> list[str]:
+    """The ``size`` most frequent of (term, n), ties in the order of the terms: a vocabulary, whose size bounds the rows."""
+    most = counted.groupBy("term").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "term").limit(size)
+    return [r["term"] for r in most.collect()]
 
 
-def with_char_grams(rows: DataFrame, column: str = "text", size: int = 3) -> DataFrame:
+def _count_chars(rows: DataFrame) -> DataFrame:
+    """(term, n) of character n-grams, added up over some texts at a time."""
 
-    def grams(t: Column) -> Column:
-        n = F.length(t) - size + 1
-        return F.when(n >= 1, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(t, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting, size = [], 0
 
-    return rows.withColumn("char_grams", let(F.lower(F.coalesce(F.col(column), F.lit(""))), grams))
+        def added_up() -> pd.DataFrame:
+            codes, n = np.unique(np.concatenate(waiting), return_counts=True)
+            return pd.DataFrame({"code": codes, "n": n})
+
+        for b in batches:
+            for t in b["t"]:
+                waiting.append(_codes(t))
+                size += len(waiting[-1])
+                if size >= AT_ONCE:
+                    yield added_up()
+                    waiting, size = [], 0
+        if waiting:
+            yield added_up()
+
+    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"term": [_gram(c) for c in b["code"].tolist()], "n": b["n"]})
+
+    codes = rows.select(F.lower(F.coalesce("text", F.lit(""))).alias("t")).mapInPandas(count, "code long, n long")
+    return codes.groupBy("code").agg(F.sum("n").alias("n")).mapInPandas(named, "term string, n long")
+
+
+def _char_tf(vocabulary: list[str]) -> Column:
+    """What the vocabulary's CountVectorizerModel gives for ``char_grams``, from the text itself."""
+    codes = np.array([_codes(g)[0] for g in vocabulary], np.int64)
+    order = np.argsort(codes)
+    codes, size = codes[order], len(vocabulary)
+
+    @F.pandas_udf(VectorUDT())
+    def counts(texts: pd.Series) -> pd.DataFrame:
+        places, times = [], []
+        for t in texts:
+            given = _codes(t)
+            at = np.minimum(np.searchsorted(codes, given), size - 1)
+            found, n = np.unique(order[at[codes[at] == given]], return_counts=True)
+            places.append(found.astype(np.int32))
+            times.append(n.astype(float))
+        # A sparse vector's fields in VectorUDT.
+        return pd.DataFrame({"type": np.zeros(len(places), np.int8), "size": np.full(len(places), size, np.int32), "indices": pd.Series(places, dtype=object), "values": pd.Series(times, dtype=object)})
+
+    return counts(F.lower(F.coalesce("text", F.lit(""))))
 
 
 def text_pipeline(words: int = 200_000, chars: int = 60_000, iterations: int = 30) -> Pipeline:
@@ -39,13 +118,34 @@ def text_pipeline(words: int = 200_000, chars: int = 60_000, iterations: int = 3
 
 
 def train(rows: DataFrame, **settings: int) -> PipelineModel:
-    return text_pipeline(**settings).fit(with_char_grams(rows))
+    """Fits ``text_pipeline``; of equally frequent terms, those first in order are in the vocabularies."""
+    indexer, tokens, pairs, uni, bi, *middle, chars, char_idf, char_norm, together, regression = text_pipeline(**settings).getStages()
+    words = pairs.transform(tokens.transform(rows.select("text")))
+
+    def fitted(vectors: CountVectorizer, counted: DataFrame) -> CountVectorizerModel:
+        terms = _most_frequent(counted, vectors.getVocabSize())
+        return CountVectorizerModel.from_vocabulary(terms, vectors.getInputCol(), vectors.getOutputCol())
+
+    of = lambda c: words.select(F.explode(c).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    counting = [indexer.fit(rows.select("class")), tokens, pairs, fitted(uni, of("uni")), fitted(bi, of("bi"))]
+    char_model = fitted(chars, _count_chars(rows))
+    counted = PipelineModel(counting).transform(rows.select("text", "class")).withColumn("char_tf", _char_tf(char_model.vocabulary))
+    counts = materialise(counted.select("label", "uni_tf", "bi_tf", "char_tf"), "text_counts")
+    rest = Pipeline(stages=[*middle, char_idf, char_norm, together, regression]).fit(counts).stages
+    return PipelineModel([*counting, *rest[: len(middle)], char_model, *rest[len(middle) :]])
+
+
+def _transformed(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """What the model's stages give, but for the column of character n-grams."""
+    at = next(i for i, stage in enumerate(model.stages) if isinstance(stage, CountVectorizerModel) and stage.getInputCol() == "char_grams")
+    before = PipelineModel(model.stages[:at]).transform(rows)
+    return PipelineModel(model.stages[at + 1 :]).transform(before.withColumn("char_tf", _char_tf(model.stages[at].vocabulary)))
 
 
 def classify(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """Adds probabilities, a map from class to probability, and predicted."""
     names = model.stages[0].labels
-    scored = model.transform(with_char_grams(rows)).withColumn("_p", vector_to_array("probability"))
+    scored = _transformed(model, rows).withColumn("_p", vector_to_array("probability"))
     by_name = F.map_from_arrays(F.array(*map(F.lit, names)), F.slice("_p", 1, len(names)))
     return scored.withColumn("probabilities", by_name).withColumn("predicted", F.element_at(F.array(*map(F.lit, names)), F.array_position(F.slice("_p", 1, len(names)), F.array_max(F.slice("_p", 1, len(names)))).cast("int"))).select(*rows.columns, "probabilities", "predicted")
 
