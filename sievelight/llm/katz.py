@@ -13,8 +13,9 @@ and so do words if none is rare. Where the counts of counts do not allow this th
 logarithms first, and where some are missing an absolute discount takes its place.
 
 How it runs: documents are encoded in chunks of about ``CHUNK`` tokens (word numbers of the chunk's own vocabulary), which
-are written once. A chunk sends its distinct words as packed arrays to hash buckets; each bucket adds the counts up, numbers
-the words, writes them as a table partitioned by bucket, and answers with the totals of what it was asked. Then the same for
+are written once, to a table bucketed by chunk. The answers to them are added to it: each is shuffled to its chunk once, and
+later orders read chunks and answers together without a shuffle. A chunk sends its distinct words as packed arrays to hash buckets; each bucket adds the counts up, numbers
+the words, and answers with the totals of what it was asked. Then the same for
 pairs, triples and so on: an n-gram is the number of the shorter one that is its context and a word's number. So an n-gram is
 shuffled once per chunk that has it, however frequent it is. What only one chunk asked for is its own: it counts what
 followed, without asking, and sends the counts of counts alone. N-grams are dealt by their context, so that a bucket knows all
@@ -29,18 +30,18 @@ tokens are unknown, with probability one. An empty table gives an empty result;
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from sievelight.llm.texts import byte_words, column_type
-from sievelight.storage import materialise
+from sievelight.storage import Growing
 
 K = 5
 ORDER = 3
@@ -74,6 +75,25 @@ def _unpack(value: bytes) -> list[np.ndarray]:
     return out
 
 
+def _unique(codes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique with the inverse, for whole numbers from 0 up to ``most``: each is sorted as one number with its place, which
+    is several times faster than sorting places, unless both together are too long."""
+    bits = len(codes).bit_length()
+    if int(most).bit_length() + bits > 63:
+        return np.unique(codes, return_inverse=True)
+    both = codes.astype(np.int64)
+    both <<= bits
+    both |= np.arange(len(codes))
+    both.sort()
+    values = both >> bits
+    runs = _first(values)
+    values = values[runs]
+    both &= (1 << bits) - 1
+    inverse = np.empty(len(codes), np.int64)
+    inverse[both] = np.repeat(np.arange(len(runs)), np.diff(np.append(runs, len(codes))))
+    return values, inverse
+
+
 @dataclass(frozen=True)
 class Discounts:
     """``d[r]`` for counts r up to K (d[0] unused); 1 above."""
@@ -232,7 +252,7 @@ class Chunk:
         at = at[self.count[context[at]] > 0]
         # By context and word in the order of their numbers, then by bucket.
         by_number, by_word = np.argsort(self.number), np.argsort(self.words)
-        code, place = np.unique(_places(by_number)[context[at]] * len(by_word) + _places(by_word)[self.flat[at]], return_inverse=True)
+        code, place = _unique(_places(by_number)[context[at]] * len(by_word) + _places(by_word)[self.flat[at]], len(by_number) * len(by_word))
         left, right = np.divmod(code, len(by_word))
         u, gv = by_number[left], self.words[by_word[right]]
         # A context takes as many buckets as it has shares of the tokens; numbers are mixed so that neighbours part.
@@ -252,7 +272,7 @@ class Chunk:
         self.next_gram[at] = place
 
     def asked(self) -> Iterator[tuple[int, bytes]]:
-        """(bucket, n-grams in runs of one context, with training counts and what their context's mass is made of). The first
+        """(bucket, n-grams in runs of one context, with training counts of themselves and of the shorter ones). The first
         message has the counts of counts of what is not asked for."""
         hist = _hist(self.seen[self.gram_cuts[-1] :])
         for k in np.flatnonzero(np.diff(self.gram_cuts)).tolist() or [0]:
@@ -262,14 +282,15 @@ class Chunk:
             lengths = np.diff(np.append(runs, len(u)))
             steps = np.diff(u[runs], prepend=0)
             hot = (self.spread[part][runs] > 1).astype(np.int8)
-            yield k, _pack(*map(_narrow, (steps, lengths)), self.v[part].astype(np.uint32), *map(_narrow, (self.seen[part], self.shorter_count[part], self.shorter_whole[part][runs])), hot, hist)
+            yield k, _pack(*map(_narrow, (steps, lengths)), self.v[part].astype(np.uint32), *map(_narrow, (self.seen[part], self.shorter_count[part])), hot, hist)
             hist = np.zeros_like(hist)
 
     def learn(self, level: Level, answers: pd.DataFrame) -> None:
         """Takes the buckets' answers on what ``ask`` asked for."""
         total, number = np.zeros(len(self.u), np.int64), np.full(len(self.u), UNKNOWN, np.int64)
         own = np.zeros(len(self.u), bool)
-        left, mass = np.zeros(len(self.count)), np.zeros(len(self.count))
+        left, mass, shorter_whole = (np.zeros(len(self.count)) for _ in range(3))
+        shorter_whole[self.local_u] = self.shorter_whole
         lost = np.array([level.discounts.lost(r) for r in range(1, K + 1)])
         lost_by = np.concatenate(([0.0], lost, [0.0]))
 
@@ -278,7 +299,7 @@ class Chunk:
             runs, times = _first(self.local_u[part]), self.shorter_count[part]
             to = self.local_u[part][runs]
             left[to] = np.add.reduceat(lost_by[np.minimum(total[part], K + 1)], runs)
-            mass[to] = np.add.reduceat(np.where(total[part] > 0, level.shorter(times) * times / self.shorter_whole[part], 0.0), runs)
+            mass[to] = np.add.reduceat(np.where(total[part] > 0, level.shorter(times) * times, 0.0), runs)
             return to
 
         here = slice(self.gram_cuts[-1], len(self.u))
@@ -291,7 +312,9 @@ class Chunk:
                 own[part] = alone > 0
                 number[part.start + np.flatnonzero((total[part] > 0) & ~own[part])] = np.cumsum(steps.astype(np.int64)) + level.offsets[k]
             # Contexts that other chunks saw other words after.
-            to = add_up(part)[partial > 0]
+            to = add_up(part)
+            left[to[partial == _RARE]], left[to[partial == _FREQUENT]] = 1.0, 0.0  # no more is asked of them
+            to = to[partial == _SUMS]
             left[to], mass[to] = np.stack(stats[:K], axis=1) @ lost, stats[K]
         if len(level.hot):
             place = np.minimum(np.searchsorted(level.hot, self.number), len(level.hot) - 1)
@@ -300,6 +323,7 @@ class Chunk:
         # A context that was seen leaves (left / count) to words that did not follow it, and one count if nothing is left.
         extra = (self.count > 0) & (left <= 0)
         whole = np.maximum(self.count + extra, 1)
+        mass /= np.maximum(shorter_whole, 1)
         alpha = np.where((self.count > 0) & (mass > 0), np.where(extra, 1.0, left) / whole / (1 - mass), 1.0)
         self.gram = self.next_gram
         r = total[self.gram[self.at]]
@@ -307,6 +331,8 @@ class Chunk:
         self.whole[self.at] = whole[self.context]
         self.p[self.at] = np.where(r > 0, level.discounts(r) * r / self.whole[self.at], alpha[self.context] * self.p[self.at])
         self.number, self.count, self.own = number, total, own
+        # Spent, and large: not to be held while longer n-grams are made.
+        del self.at, self.context, self.local_u, self.u, self.v, self.spread, self.seen, self.shorter_count, self.shorter_whole, self.next_gram
 
 
 def _narrow(values: np.ndarray) -> np.ndarray:
@@ -331,8 +357,12 @@ def _first(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
 
 
+#: What a bucket says of a context's followers: the chunk knows them all; the sums stand behind; or, where no token of the
+#: chunk backs off from the context, only whether one of them is rare, which its discounts need.
+_KNOWN, _SUMS, _RARE, _FREQUENT = range(4)
 _STATS = -1  # the "chunk" of rows that hold a bucket's own sums
 _ANSWER = "chunk long, bucket int, kind string, x binary"
+_CHUNK = "chunk"  # the kind of rows that hold a chunk
 
 
 def _count_words(rows: pd.DataFrame) -> pd.DataFrame:
@@ -361,34 +391,38 @@ def _count_grams(kind: str, shorter: Discounts, numbered: bool):
         parts = [_unpack(x) for x in rows["x"]]
         lengths = [p[1].astype(np.int64) for p in parts]
         run_u = np.concatenate([np.cumsum(p[0].astype(np.int64)) for p in parts])
-        contexts, run = np.unique(run_u, return_inverse=True)
+        contexts, run = _unique(run_u, run_u.max(initial=0))
         v, given, shorter_count = (np.concatenate([p[i] for p in parts]) for i in (2, 3, 4))
-        shorter_whole, hot = (np.concatenate([p[i] for p in parts]) for i in (5, 6))
-        u = np.repeat(run, np.concatenate(lengths))
-        key, place = np.unique(u.astype(np.uint64) << np.uint64(32) | v.astype(np.uint64), return_inverse=True)
+        v = v.astype(np.int64) + 1 & 0xFFFFFFFF  # unknown words first
+        width = int(v.max(initial=0)) + 1
+        hot, local_hist, asked_by = np.concatenate([p[5] for p in parts]), sum(p[6] for p in parts), [len(p[2]) for p in parts]
+        del parts
+        key, place = _unique(np.repeat(run, np.concatenate(lengths)) * width + v, len(contexts) * width)
+        del v
         total = np.bincount(place, given, len(key)).astype(np.int64)
         seen = total > 0
-        context = (key >> np.uint64(32)).astype(np.int64)
-        runs = _first(context)
+        runs = _first(key // width)
         rare = np.stack([np.add.reduceat((total == r).astype(np.int64), runs) for r in range(1, K + 1)], axis=1)
-        whole, times = np.empty(len(contexts), np.int64), np.empty(len(key), np.int64)
-        whole[run], times[place] = shorter_whole, shorter_count
-        mass = np.add.reduceat(np.where(seen, shorter(times) * times / whole[context], 0.0), runs)
+        times = np.empty(len(key), np.int64)
+        times[place] = shorter_count
+        mass = np.add.reduceat(np.where(seen, shorter(times) * times, 0.0), runs)
         followers = np.add.reduceat(seen.astype(np.int64), runs)
         own = np.bincount(place, minlength=len(key)) == 1
         shared = seen & ~own
         local = np.cumsum(shared) - 1
         out, at, run_at = [], 0, 0
-        for c, p, n in zip(rows["chunk"], parts, lengths):
-            mine, asked = run[run_at : run_at + len(n)], place[at : at + len(p[2])]
+        for c, size, n in zip(rows["chunk"], asked_by, lengths):
+            mine, asked = run[run_at : run_at + len(n)], place[at : at + size]
             steps, alone = (np.diff(local[asked[shared[asked]]], prepend=0), own[asked]) if numbered else (local[:0], own[:0])
             # A chunk that asks for all that followed a context adds its sums up itself.
-            partial = np.add.reduceat(seen[asked].astype(np.int64), np.cumsum(n) - n) < followers[mine]
-            mine = mine[partial]
+            known = np.add.reduceat(seen[asked].astype(np.int64), np.cumsum(n) - n)
+            partial = np.where(known == n, np.where(rare[mine].any(axis=1), _RARE, _FREQUENT), _SUMS)
+            partial[known == followers[mine]] = _KNOWN
+            mine = mine[partial == _SUMS]
             out.append((int(c), bucket, kind, _pack(*map(_narrow, (total[asked], steps, alone.astype(np.int8), partial.astype(np.int8), *rare[mine].T)), mass[mine])))
             at, run_at = at + len(asked), run_at + len(n)
         several = np.unique(run[hot > 0])
-        out.append((_STATS, bucket, kind, _pack(np.array([shared.sum()]), _hist(total) + sum(p[7] for p in parts), contexts[several], *rare[several].T, mass[several])))
+        out.append((_STATS, bucket, kind, _pack(np.array([shared.sum()]), _hist(total) + local_hist, contexts[several], *rare[several].T, mass[several])))
         return pd.DataFrame(out, columns=["chunk", "bucket", "kind", "x"])
 
     return count
@@ -404,11 +438,29 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out:
         raise ValueError("order is the number of tokens of the longest n-gram")
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(held_out), F.lit(False)).alias("held"))
+    with Growing(spark, "katz", int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk") as stored:
+        return _score(rows, stored, order, chunk, bucket)
+
+
+def _score(rows: DataFrame, stored: Growing, order: int, chunk: int, bucket: int) -> DataFrame:
+    """``score`` of rows (doc_id, text, held) by way of a table for chunks and answers."""
     kind = column_type(rows, "doc_id")
-    chunks = materialise(encode(rows, chunk), "katz_chunks")
+    of_chunks = {"doc_ids": f"array<{kind}>", "sizes": "array<int>", "held": "array<boolean>", "vocab": "binary"}
+
+    def answer(asked: DataFrame, kind: str, count: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+        """Adds the buckets' answers of one kind; returns the buckets' own sums, a short row each."""
+        answers = asked.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(count, _ANSWER)
+        table = stored.add(answers.withColumns({c: F.lit(None).cast(t) for c, t in of_chunks.items()}))
+        return table.where((F.col("chunk") == _STATS) & (F.col("kind") == kind)).select("bucket", "x")
+
+    def grouped() -> GroupedData:
+        """Chunks with all answers so far."""
+        return stored.table().where(F.col("chunk") != _STATS).groupBy("chunk")
+
+    chunks = stored.add(encode(rows, chunk).withColumns({"bucket": F.lit(None).cast("int"), "kind": F.lit(_CHUNK)}))
     sums = chunks.select(F.expr("aggregate(sizes, 0L, (a, x) -> a + x)").alias("n"), F.expr("size(filter(held, x -> not x))").alias("b")).agg(F.sum("n"), F.sum("b")).first()
     total, begins = sums[0] or 0, sums[1] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket))
+    buckets = max(stored.n, -(-total // bucket))
 
     def ask_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -417,9 +469,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out:
                 yield pd.DataFrame(asked, columns=["chunk", "bucket", "words", "x"])
 
     asked = chunks.mapInPandas(ask_words, "chunk long, bucket int, words binary, x binary")
-    word_table = materialise(asked.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_count_words, _ANSWER), "katz_words", ("bucket",))
     offsets, tokens, hist = np.zeros(buckets, np.int64), 0, np.zeros(K + 2, np.int64)
-    for r in word_table.where(F.col("chunk") == _STATS).select("bucket", "x").collect():  # a short row a bucket
+    for r in answer(asked, "word", _count_words).collect():
         (offsets[r["bucket"]], n), h = _unpack(bytes(r["x"]))
         tokens, hist = tokens + int(n), hist + h
     distinct = int(offsets.sum())
@@ -428,17 +479,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out:
     offsets = np.concatenate(([0], np.cumsum(offsets)[:-1]))
     words = Words.of(tokens, distinct, hist)
 
-    def mixed(answers: list[DataFrame]) -> DataFrame:
-        """Chunks and the answers to them, in one table."""
-        none = lambda t, c: F.lit(None).cast(t).alias(c)
-        rows = chunks.select("chunk", none("int", "bucket"), F.lit("chunk").alias("kind"), "x", "doc_ids", "sizes", "held", "vocab")
-        for a in answers:
-            more = a.where(F.col("chunk") != _STATS).select("chunk", "bucket", "kind", "x", none(f"array<{kind}>", "doc_ids"), none("array<int>", "sizes"), none("array<boolean>", "held"), none("binary", "vocab"))
-            rows = rows.union(more)
-        return rows
-
     def opened(rows: pd.DataFrame, levels: list[Level]) -> Chunk:
-        c = Chunk(rows[rows["kind"] == "chunk"].iloc[0], buckets)
+        c = Chunk(rows[rows["kind"] == _CHUNK].iloc[0], buckets)
         c.learn_words(rows[rows["kind"] == "word"], offsets, words, begins)
         for level in levels:
             c.ask(level.n, tokens)
@@ -453,15 +495,13 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out:
 
         return ask
 
-    tables, levels = [word_table], []
+    levels = []
     for n in range(2, order + 1):
-        grams = mixed(tables).groupBy("chunk").applyInPandas(asking(n, list(levels)), "chunk long, bucket int, x binary")
+        grams = grouped().applyInPandas(asking(n, list(levels)), "chunk long, bucket int, x binary")
         shorter = levels[-1].discounts if levels else words.discounts
-        count = _count_grams(f"{n}-grams", shorter, n < order)
-        table = materialise(grams.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(count, _ANSWER), f"katz_{n}_grams", ("bucket",))
         sizes, gram_hist = np.zeros(buckets, np.int64), np.zeros(K + 2, np.int64)
         hot: dict[int, np.ndarray] = {}
-        for r in table.where(F.col("chunk") == _STATS).select("bucket", "x").collect():  # contexts in several buckets: two a bucket on average
+        for r in answer(grams, f"{n}-grams", _count_grams(f"{n}-grams", shorter, n < order)).collect():  # contexts in several buckets: two a bucket on average
             (sizes[r["bucket"]],), h, contexts, *stats = _unpack(bytes(r["x"]))
             gram_hist += h
             for u, sums in zip(contexts.tolist(), np.stack(stats, axis=1)):
@@ -469,7 +509,6 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out:
         numbers = np.array(sorted(hot), np.int64)
         hot_sums = np.array([hot[u] for u in numbers.tolist()]).reshape(-1, K + 1)
         levels.append(Level(n, np.concatenate(([0], np.cumsum(sizes)[:-1])), Discounts.of(gram_hist), shorter, numbers, hot_sums))
-        tables.append(table)
 
     def evaluate(rows: pd.DataFrame) -> pd.DataFrame:
         c = opened(rows, levels)
@@ -483,4 +522,4 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out:
         })
 
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return mixed(tables).groupBy("chunk").applyInPandas(evaluate, schema)
+    return grouped().applyInPandas(evaluate, schema)

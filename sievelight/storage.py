@@ -45,6 +45,42 @@ def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     return table
 
 
+class Growing:
+    """A table in the shared folder to which rows are added, dealt over ``n`` buckets by a column.
+
+    What groups by that column reads the buckets as they are, without another shuffle. (A union of bucketed tables would not
+    do: Spark 4.1 plans it without a shuffle as well, but over columnar scans sets its parts behind each other.) Buckets are
+    known by the catalogue, which has the table inside the ``with``; files stay, and so do DataFrames read from it. What is
+    shuffled by what is run inside the ``with`` is deleted once that has ended, not when the driver happens to collect its
+    garbage.
+    """
+
+    _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession, name: str, n: int, column: str):
+        self.spark, self.n, self.column = spark, n, column
+        self.name = f"{name}_{uuid.uuid4().hex}"
+        self.path = f"{shared_dir(spark)}/tables/{self.name}"
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Adds rows of the same columns and returns the whole table."""
+        writer = df.repartition(self.n, self.column).write.bucketBy(self.n, self.column).option("compression", "zstd").option("path", self.path)
+        writer.saveAsTable(self.name, format="parquet", mode="append")
+        return self.table()
+
+    def table(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def __enter__(self) -> Growing:
+        self.cleanup = self.spark.conf.get(self._CLEANUP)
+        self.spark.conf.set(self._CLEANUP, "true")
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.spark.conf.set(self._CLEANUP, self.cleanup)
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")  # an external one: its files stay
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes materialised tables. Only for those that no plan yet to run reads: call it once what was made of them has
     been written. A table that is not one of ``materialise`` is left alone."""

@@ -5,10 +5,12 @@ import functools
 import math
 import random
 import re
+import time
 import tracemalloc
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -398,6 +400,45 @@ def test_katz_edges(spark):
     assert katz.score(spark.createDataFrame([(None, "a", None), (2, "a", False), (2, "a", False)], schema)).count() == 3
 
 
+def test_katz_shuffles_once_and_keeps_no_spent_shuffles(spark):
+    def shuffled():
+        return set(re.findall(r"shuffle_\d+_\d+_\d+", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ")))
+
+    before = shuffled()
+    docs = spark.createDataFrame([(i, f"a b c{i % 7} d e{i % 3}", i % 7 == 2) for i in range(200)], "doc_id long, text string, held_out boolean")
+    scored = katz.score(docs, chunk=40, bucket=20)
+    for _ in range(50):  # they are deleted in the background
+        if not shuffled() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
+    assert scored.count() == 200 and not any(t.name.startswith("katz_") for t in spark.catalog.listTables())
+
+
+def test_katz_buckets_send_sums_only_to_who_backs_off():
+    def message(words, seen):
+        return katz._pack(*map(katz._narrow, (np.array([5]), np.array([len(words)]))), np.array(words, np.uint32), np.array(seen), np.ones(len(words), np.int64), np.zeros(1, np.int8), np.zeros(katz.K + 2, np.int64))
+
+    # All know word 1 after context 5; the first chunk alone knows word 2, the last asks for one that nobody saw.
+    asked = [message([1, 2], [9, 1]), message([1], [9]), message([1, 3], [9, 0])]
+    count = katz._count_grams("2-grams", katz.Discounts((1.0, *[0.5] * katz.K)), True)
+    rows = count(pd.DataFrame({"chunk": [0, 1, 2], "bucket": [0] * 3, "x": asked})).set_index("chunk")["x"]
+    total, _, _, partial, *sums = katz._unpack(rows[0])
+    assert total.tolist() == [27, 1] and partial.tolist() == [katz._KNOWN] and not any(map(len, sums))
+    total, _, _, partial, *sums = katz._unpack(rows[1])
+    assert total.tolist() == [27] and partial.tolist() == [katz._RARE] and not any(map(len, sums))
+    total, _, _, partial, *sums = katz._unpack(rows[2])
+    assert total.tolist() == [27, 0] and partial.tolist() == [katz._SUMS] and [x.tolist() for x in sums] == [[1], [0], [0], [0], [0], [1.0]]
+
+
+def test_unique_as_numpy():
+    rng = np.random.default_rng(3)
+    for codes, most in [(rng.integers(0, 50, 400), 50), (rng.integers(0, 1 << 62, 40), 1 << 62), (np.zeros(0, np.int64), 0), (np.array([7, 7]), 7)]:
+        values, inverse = katz._unique(codes, most)
+        assert values.tolist() == np.unique(codes).tolist() and values[inverse].tolist() == codes.tolist()
+
+
 def test_good_turing_discounts():
     d = katz.Discounts.of(np.array([0, 100, 40, 20, 12, 8, 6])).d
     assert all(0 < x < 1 for x in d[1:]) and d[1] == pytest.approx((2 * 40 / 100 - 0.36) / 0.64)
