@@ -221,7 +221,7 @@ class Chunk:
             these = self.order[self.cuts[k] : self.cuts[k + 1]]
             yield k, zstandard.compress(b" ".join([self.vocab[i] for i in these.tolist()]), ZSTD), counts[these]
 
-    def learn_words(self, answers: pd.DataFrame, offsets: np.ndarray, words: Words, begins: int) -> None:
+    def learn_words(self, answers: pd.DataFrame, words: Words, begins: int) -> None:
         """Takes the buckets' answers: numbers and training counts of the words. From here on, ``gram`` has the n-gram that
         ends at each token (-1: none that is needed), and ``number``, ``count`` and ``own`` (no other chunk has it) are by n-gram; ``p`` is what the
         model so far gives each token, and ``whole`` what the count of a token's n-gram is a part of."""
@@ -231,7 +231,8 @@ class Chunk:
         for k, value in zip(answers["bucket"].astype(int), answers["x"]):
             local, counts, own = _unpack(value)
             these = self.order[self.cuts[k] : self.cuts[k + 1]]
-            self.number[these] = np.where(counts > 0, local + offsets[k], UNKNOWN)
+            # A bucket's first words are its frequent ones: in turns, frequent words have small numbers, which pack well.
+            self.number[these] = np.where(counts > 0, local.astype(np.int64) * self.buckets + k, UNKNOWN)
             self.count[these], self.own[these] = counts, own > 0
         self.number[-1], self.count[-1] = BEGIN, begins
         self.words, self.word_count = self.number, self.count
@@ -469,19 +470,18 @@ def _score(rows: DataFrame, stored: Growing, order: int, chunk: int, bucket: int
                 yield pd.DataFrame(asked, columns=["chunk", "bucket", "words", "x"])
 
     asked = chunks.mapInPandas(ask_words, "chunk long, bucket int, words binary, x binary")
-    offsets, tokens, hist = np.zeros(buckets, np.int64), 0, np.zeros(K + 2, np.int64)
+    known, tokens, hist = np.zeros(buckets, np.int64), 0, np.zeros(K + 2, np.int64)
     for r in answer(asked, "word", _count_words).collect():
-        (offsets[r["bucket"]], n), h = _unpack(bytes(r["x"]))
+        (known[r["bucket"]], n), h = _unpack(bytes(r["x"]))
         tokens, hist = tokens + int(n), hist + h
-    distinct = int(offsets.sum())
-    if distinct >= BEGIN:
+    distinct = int(known.sum())
+    if int(known.max()) * buckets >= BEGIN:
         raise ValueError("more distinct words than 32-bit numbers")
-    offsets = np.concatenate(([0], np.cumsum(offsets)[:-1]))
     words = Words.of(tokens, distinct, hist)
 
     def opened(rows: pd.DataFrame, levels: list[Level]) -> Chunk:
         c = Chunk(rows[rows["kind"] == _CHUNK].iloc[0], buckets)
-        c.learn_words(rows[rows["kind"] == "word"], offsets, words, begins)
+        c.learn_words(rows[rows["kind"] == "word"], words, begins)
         for level in levels:
             c.ask(level.n, tokens)
             c.learn(level, rows[rows["kind"] == level.kind])
