@@ -540,3 +540,32 @@ def test_long_labelled_text_drops_no_other(spark):
     assert set(rows["_id"]) == set(range(2, 20)) and share == 0.5
     rows, _ = toxicity.sample(docs.where("doc_id < 2"), labels, toxicity.Settings(most_chars=2400), "doc_id", "text", "toxic")
     assert set(rows["y"]) == {0, 1}
+
+
+def sample_texts(n_words):
+    rng = random.Random(5)
+    made = ["".join(rng.choice("abcdefghij") for _ in range(24)) for _ in range(n_words)]
+    return [" ".join(made[i : i + 50] + ["vile"] * (i // 50 % 2)) for i in range(0, n_words, 50)], [i // 50 % 2 for i in range(0, n_words, 50)]
+
+
+def test_toxicity_training_holds_no_subwords():
+    texts, y = sample_texts(10_000)  # 830,000 subwords, 6.6 MB as 64-bit numbers
+    tracemalloc.start()
+    try:
+        toxicity.train(texts, y, toxicity.Settings(epochs=2, buckets=1 << 12))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 12e6
+
+
+def test_toxicity_training_by_blocks(monkeypatch):
+    """Neither the blocks nor forgotten words make a difference; texts without words leave the share alone."""
+    texts, y = sample_texts(600)
+    texts, y, s = [None, *texts, "", texts[0], "x" * 400], [0, *y, 1, 1, 0], toxicity.Settings(epochs=4, buckets=512)
+    whole = toxicity.train(texts, y, s)
+    for name, value in (("BLOCK", 97), ("PASSAGES", 3), ("REMEMBER", 5)):
+        monkeypatch.setattr(toxicity, name, value)
+    parts = toxicity.train(texts, y, s)
+    assert np.abs(whole.weight).max() > 0.1 and np.allclose(whole.weight, parts.weight, atol=1e-5) and whole.bias == pytest.approx(parts.bias)
+    assert toxicity.train([None, "", "!", ""], [1, 0, 0, 0], s).score("any") == pytest.approx(0.25)
