@@ -18,8 +18,8 @@ pair. So nearly equal vectors are told apart, and neither tiny nor huge componen
 Links of equal distance are kept by a hash of both ends, not by id, so that ties make no hubs.
 
 A search keeps a beam of the nearest classes found for each query, expands those not expanded yet by all their links in
-either direction, and ends when no beam changes. Queries that are rows of the table start at their own class, others at seeds
-spread over the table. Each class in the beam gives its smallest ids, as many as a result may hold.
+either direction, and ends when no beam changes. Queries that are rows of the table start at their own class and its
+links, others at seeds spread over the table. Each class in the beam gives its smallest ids, as many as a result may hold.
 
 Defined results: vectors that are null, zero or of another length than most, or that hold a null or non-finite
 component, take no part, as queries or candidates. Ties go to the smaller id. A query never finds its own row. With fewer
@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievelight.storage import discard, materialise
+from sievelight.storage import collect_spent, discard, materialise
 
 
 @dataclass(frozen=True)
@@ -282,6 +282,7 @@ def build_graph(nodes: DataFrame, s: Settings = Settings()) -> tuple[DataFrame,
         changed, links = state.agg(F.sum(F.size(F.filter("links", lambda x: x["new"]))), F.sum(F.size("links"))).first()
         if changed <= s.settled * links:
             return placed, state.select("u", "at", "links")
+        collect_spent(state.sparkSession)
     raise RuntimeError(f"the graph did not settle in {s.rounds} rounds")
 
 
@@ -295,27 +296,28 @@ def _ways(graph: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
 
 
 def _measured(pairs: DataFrame, nodes: DataFrame, asked: DataFrame, s: Settings) -> DataFrame:
-    """(query_id, v, home, d) of ``pairs`` (query_id, v, home), repeated or not, that are nearer than the query's bound in
-    ``asked`` (query_id, q, bound); of each query the nearest in each task, as many as a beam holds."""
+    """(query_id, v, home, d) of ``pairs`` (query_id, home, vs, bound: a row for each home that a query reaches, with the nodes
+    there) that are nearer than the bound, for queries ``asked`` (query_id, q); of each query the nearest in each task, as many
+    as a beam holds."""
     pairs = materialise(pairs, "pairs")
-    parts = pairs.groupBy("home").count().select("home", F.ceil(F.col("count") / s.pairs).cast("int").alias("parts"))
+    parts = pairs.groupBy("home").agg(F.ceil(F.sum(F.size("vs")) / s.pairs).cast("int").alias("parts"))
     parts = materialise(parts, "parts")  # a row a home
     part = F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int")
-    keyed = pairs.join(parts, "home").select(F.xxhash64("home", part).alias("key"), F.lit("pair").alias("kind"), "query_id", "v", "home", F.lit(0.0).alias("bound"))
     vector = nodes.schema["vec"].dataType.simpleString()
-    points = nodes.join(parts, "home").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(F.xxhash64("home", "part").alias("key"), F.lit("node"), F.col("node"), "node", "home", F.lit(0.0), "vec")
-    queries = keyed.select("key", "query_id").distinct().join(asked, "query_id").select("key", F.lit("query"), "query_id", "query_id", F.lit(0), "bound", F.col("q").cast(vector).alias("vec"))
-    rows = keyed.withColumn("vec", F.array().cast(vector)).union(points).union(queries)
+    queries = pairs.join(parts, "home").join(asked, "query_id").select(F.xxhash64("home", part).alias("key"), F.lit(False).alias("point"), F.col("query_id").alias("id"), "vs", "home", "bound", F.col("q").cast(vector).alias("vec"))
+    points = nodes.join(parts, "home").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(F.xxhash64("home", "part").alias("key"), F.lit(True), "node", F.array().cast("array<long>"), "home", F.lit(0.0), "vec")
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
-        met, point, query = (rows[rows["kind"] == k] for k in ("pair", "node", "query"))
-        v, q = point["v"].to_numpy(), query["query_id"].to_numpy()
-        by_v, by_q = np.argsort(v), np.argsort(q)
-        x, y = _matrix(point["vec"])[by_v], _matrix(query["vec"])[by_q]
-        pair = np.unique(np.searchsorted(q[by_q], met["query_id"].to_numpy()) * len(v) + np.searchsorted(v[by_v], met["v"].to_numpy()))
-        a, b = np.divmod(pair, len(v))
-        d = np.empty(len(pair))
-        for at in range(0, len(pair), 1 << 15):
+        is_point = rows["point"].to_numpy(bool)
+        point, query = rows[is_point], rows[~is_point]
+        if not len(query):  # no query was dealt to this part of the home
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "v": np.zeros(0, np.int64), "home": np.zeros(0, np.int32), "d": np.zeros(0)})
+        v, q = point["id"].to_numpy(), query["id"].to_numpy()
+        by_v = np.argsort(v)
+        x, y = _matrix(point["vec"])[by_v], _matrix(query["vec"])
+        a, b = np.repeat(np.arange(len(q)), query["vs"].map(len)), np.searchsorted(v[by_v], np.concatenate(list(query["vs"])))
+        d = np.empty(len(a))
+        for at in range(0, len(a), 1 << 15):
             i = slice(at, at + (1 << 15))
             with np.errstate(over="ignore", under="ignore"):
                 diff = y[a[i]] - x[b[i]]
@@ -323,44 +325,45 @@ def _measured(pairs: DataFrame, nodes: DataFrame, asked: DataFrame, s: Settings)
             odd = (d[i] < 1e-140) | (d[i] > 1e150)
             if odd.any():
                 d[i][odd] = _apart(diff[odd])
-        near = d < query["bound"].to_numpy()[by_q][a]
+        near = d < query["bound"].to_numpy()[a]
         a, b, d = a[near], b[near], d[near]
         order = np.lexsort((v[by_v][b], d, a))
         a, b, d = a[order], b[order], d[order]
         few = np.arange(len(a)) - np.searchsorted(a, a) < s.beam
-        return pd.DataFrame({"query_id": q[by_q][a[few]], "v": v[by_v][b[few]], "home": np.full(few.sum(), point["home"].iloc[0]), "d": d[few]})
+        return pd.DataFrame({"query_id": q[a[few]], "v": v[by_v][b[few]], "home": np.full(few.sum(), point["home"].iloc[0]), "d": d[few]})
 
-    return _by_key(rows, work, "query_id long, v long, home int, d double")
+    return _by_key(queries.union(points), work, "query_id long, v long, home int, d double")
 
 
 def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 10, s: Settings = Settings()) -> DataFrame:
     """(query_id, rank, vec_id, score) for ``queries`` (query_id, vec, start: array of struct<v,home> of nodes to start at),
     over what ``build_graph`` gave."""
     ways, hubs = _ways(graph, s)
-    asked = queries.select("query_id", F.col("vec").alias("q"), F.lit(float("inf")).alias("bound"))
-
-    def bounded(beam: DataFrame) -> DataFrame:
-        """The queries with open ends; what is no nearer than the farthest of a full beam has no place in it."""
-        full = beam.groupBy("query_id").agg(F.when(F.count("*") >= s.beam, F.max("d")).otherwise(float("inf")).alias("bound"), F.min("done").alias("ended")).where("not ended")
-        return asked.drop("bound").join(full.select("query_id", "bound"), "query_id")
+    asked = queries.select("query_id", F.col("vec").alias("q"))
+    of_query = Window.partitionBy("query_id")
 
     def best(beam: DataFrame) -> DataFrame:
+        """The beam of each query; what is no nearer than ``bound``, the farthest of a full one, has no place in it."""
         once = beam.repartition("query_id").groupBy("query_id", "v").agg(F.first("home").alias("home"), F.min("d").alias("d"), F.max("done").alias("done"))
-        return materialise(once.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "v"))).where(F.col("_r") <= s.beam).drop("_r"), "beam")
+        kept = once.withColumn("_r", F.row_number().over(of_query.orderBy("d", "v"))).where(F.col("_r") <= s.beam).drop("_r")
+        return materialise(kept.withColumn("bound", F.when(F.count("*").over(of_query) >= s.beam, F.max("d").over(of_query)).otherwise(float("inf"))), "beam")
 
-    begin = queries.select("query_id", F.explode("start").alias("x")).select("query_id", "x.v", "x.home")
+    begin = queries.select("query_id", F.explode("start").alias("x")).groupBy("query_id", "x.home").agg(F.collect_set("x.v").alias("vs"), F.lit(float("inf")).alias("bound"))
     beam = best(_measured(begin, nodes, asked, s).withColumn("done", F.lit(False)))
     for _ in range(s.steps):
         open_ends = beam.where("not done")
         if open_ends.isEmpty():
             break
-        opened = open_ends.select("query_id", F.col("v").alias("u")).join(hubs, "u", "left")
-        opened = opened.select("query_id", "u", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block"))
-        # A query that reaches one node by several ways asks for it once.
-        reached = opened.join(ways, ["u", "block"]).select("query_id", F.explode("to").alias("x")).select("query_id", "x.v", "x.home").distinct()
-        fresh = reached.join(beam.select("query_id", "v"), ["query_id", "v"], "left_anti")
-        before, beam = beam, best(beam.withColumn("done", F.lit(True)).union(_measured(fresh, nodes, bounded(beam), s).withColumn("done", F.lit(False))))
+        opened = open_ends.select("query_id", "bound", F.col("v").alias("u")).join(hubs, "u", "left")
+        opened = opened.select("query_id", "bound", "u", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block"))
+        reached = opened.join(ways, ["u", "block"]).select("query_id", "bound", F.explode("to").alias("x")).select("query_id", "x.home", "x.v", F.lit(None).cast("long").alias("had"), "bound")
+        # A query that reaches one node by several ways asks for it once, and not for what its beam has.
+        met = reached.union(beam.select("query_id", "home", F.lit(None).cast("long"), "v", "bound")).groupBy("query_id", "home")
+        met = met.agg(F.collect_set("v").alias("vs"), F.collect_set("had").alias("had"), F.max("bound").alias("bound"))
+        fresh = met.select("query_id", "home", F.array_except("vs", "had").alias("vs"), "bound").where(F.size("vs") > 0)
+        before, beam = beam, best(beam.drop("bound").withColumn("done", F.lit(True)).union(_measured(fresh, nodes, asked, s).withColumn("done", F.lit(False))))
         discard(before)
+        collect_spent(beam.sparkSession)
     else:
         raise RuntimeError(f"the search did not end in {s.steps} steps")
     found = beam.join(nodes.select(F.col("node").alias("v"), "members"), "v")
@@ -374,5 +377,7 @@ def nearest_of_rows(rows: DataFrame, is_query: Column, k: int = 10, s: Settings
     fine = materialise(usable(rows, vec_id, embedding), "usable")
     nodes, graph = build_graph(materialise(classes(fine, k + 1), "classes"), s)
     asked = fine.where(is_query)
-    placed = asked.join(nodes.select("vec", "node", "home"), "vec").select(F.col("vec_id").alias("query_id"), "vec", F.array(F.struct(F.col("node").alias("v"), "home")).alias("start"))
+    near = graph.select(F.col("u").alias("node"), F.transform("links", lambda x: F.struct(x["v"].alias("v"), x["home"].alias("home"))).alias("near"))
+    own = F.array(F.struct(F.col("node").alias("v"), "home"))
+    placed = asked.join(nodes.select("vec", "node", "home"), "vec").join(near, "node", "left").select(F.col("vec_id").alias("query_id"), "vec", F.concat(own, F.coalesce("near", F.array().cast(near.schema["near"].dataType))).alias("start"))
     return search(nodes, graph, materialise(placed, "queries"), k, s)

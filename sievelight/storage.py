@@ -90,3 +90,9 @@ def discard(*tables: DataFrame) -> None:
             spark = table.sparkSession
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def collect_spent(spark: SparkSession) -> None:
+    """Has the driver's JVM collect its garbage. For loops that run many plans: else the heap grows by spent ones, and Spark keeps
+    their broadcasts and shuffles until the driver happens to collect."""
+    spark._jvm.System.gc()

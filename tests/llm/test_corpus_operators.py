@@ -319,6 +319,25 @@ def test_neighbours_end_settled_or_raise(spark):
         neighbours.search(line, ring, asked, 3, neighbours.Settings(beam=2, steps=2))
 
 
+def test_neighbours_search_runs_few_jobs_a_step(spark):
+    """Each job leaves its plan, tasks and threads with the driver."""
+    n = 400
+    ring = spark.createDataFrame([(i, i % 3, [((i + 1) % n, (i + 1) % n % 3, 1.0, False)]) for i in range(n)], "u long, at int, links array<struct<v:long,home:int,d:double,new:boolean>>")
+    line = spark.createDataFrame([(i, [float(i)], [i], i % 3) for i in range(n)], "node long, vec array<double>, members array<long>, home int")
+    asked = line.where("node = 300").select(F.lit(-1).cast("long").alias("query_id"), F.array(F.lit(303.2)).alias("vec"), F.array(F.struct(F.col("node").alias("v"), "home")).alias("start"))
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    before = jobs()
+    found = neighbours.search(line, ring, asked, 2, neighbours.Settings(beam=2)).orderBy("rank").collect()
+    assert jobs() - before <= 85
+    assert [(r.vec_id, round(r.score, 6)) for r in found] == [(303, 0.2), (304, 0.8)]
+
+
+def test_neighbours_parts_of_a_home_without_queries(spark):
+    """A home's pairs are dealt by query; with fewer queries than parts some parts have none."""
+    x = np.random.default_rng(15).normal(size=(600, 8))
+    assert _recall(spark, x, every=300, pairs=20) >= 0.9
+
+
 @pytest.mark.parametrize("scale", [1.0, 1e300, 1e-300])
 def test_neighbour_distances_that_cancel(scale):
     rng = np.random.default_rng(8)
